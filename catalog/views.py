@@ -20,8 +20,8 @@ def points(spark, sf) -> DataFrame:
     u = (pk * 7919) % 2001 - 1000
     v = (pk * 104729) % 2001 - 1000
     q = F.col("l_quantity").cast("long")
-    disc = F.round(F.col("l_discount") * 100).cast("long")
-    tax = F.round(F.col("l_tax") * 100).cast("long")
+    disc = F.floor(F.col("l_discount") * 100 + 0.5)
+    tax = F.floor(F.col("l_tax") * 100 + 0.5)
     frame = F.col("l_linenumber").cast("long")
     m = pk % 5
     x_mm = F.floor(u * F.abs(u) / 10.0) + (q - 25) * 6 - frame * 1500

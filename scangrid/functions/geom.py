@@ -23,7 +23,9 @@ def is_finite(v) -> Column:
 
 
 def in_range(x="x", y="y", z="z", max_range=MAX_RANGE_M) -> Column:
-    return is_finite(x) & is_finite(y) & is_finite(z) & (radius(x, y) < max_range)
+    """Finite and closer than the limit. NaN sorts above every number, so two
+    comparisons reject NaN and infinities as well."""
+    return (radius(x, y) < max_range) & (F.abs(as_col(z)) < float("inf"))
 
 
 def fovea_distance(x, y, speed=0.0, heading=0.0) -> Column:

@@ -25,21 +25,18 @@ def semantic_split(counts, entropy_limit=0.18, contamination=0.05) -> Column:
     """
     counts = [as_col(c).cast("double") for c in counts]
     n = counts[0] + counts[1] + counts[2] + counts[3]
+    # sum of -p ln p, written with one logarithm per class plus one for the total
+    logs = sum((c * F.ln(F.greatest(c, F.lit(1.0))) for c in counts[1:]),
+               counts[0] * F.ln(F.greatest(counts[0], F.lit(1.0))))
     safe = F.greatest(n, F.lit(1.0))
-    entropy = F.lit(0.0)
-    squares = F.lit(0.0)
-    rare = n * (contamination / 3)
-    for c in counts:
-        share = c / safe
-        entropy = entropy - share * F.ln(F.greatest(share, F.lit(1e-15)))
-        squares = squares + (c - rare) * (c - rare)
+    entropy = F.ln(safe) - logs / safe
     top = F.greatest(*counts)
-    main = n * (1 - contamination)
-    statistic = ((squares - (top - rare) * (top - rare)) / F.greatest(rare, F.lit(1e-12))
-                 + (top - main) * (top - main) / F.greatest(main, F.lit(1e-12)))
-    enough = (rare >= 5) & (main >= 5)
-    return F.when(enough, (top < main) & (statistic > CHI2_99_DF3)).otherwise(
-        entropy / math.log(4) > entropy_limit)
+    rare, main = n * (contamination / 3), n * (1 - contamination)
+    squares = sum((c * c for c in counts[1:]), counts[0] * counts[0]) - top * top
+    statistic = ((squares - 2 * rare * (n - top)) / rare + 3 * rare
+                 + (top - main) * (top - main) / main)
+    return F.when(rare >= 5, (top < main) & (statistic > CHI2_99_DF3)).otherwise(
+        entropy > entropy_limit * math.log(4))
 
 
 def distance_band(r) -> Column:

@@ -7,7 +7,7 @@ shuffled once, hot cells are combined map-side, and no tier rescans the points.
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import geom as G
-from ..functions.semantics import argmax4, is_obstacle, semantic_split
+from ..functions.semantics import argmax4, semantic_split
 from ..schema import (FRAME_KEYS, HEIGHT_VARIANCE_LIMIT, LEAF_BYTES, POLICIES, SAFETY_RADIUS_M,
                       UNIT_M, UNKNOWN_CLASS)
 
@@ -23,9 +23,16 @@ POLICY_RULES = {
 # the order tasks finish in, so equal votes stay equal.
 VOTE_SCALE = 1_000_000_000
 
-_SUMS = ["n", "sz", "szz", "obst"] + [f"{p}{k}" for p in "kvt" for k in range(4)]
 _LOWS, _HIGHS = ["zmin"], ["zmax"]
-MEASURES = _SUMS + _LOWS + _HIGHS
+
+
+def _sum_names(columns):
+    wanted = ["n", "sz", "szz"] + [f"{p}{k}" for p in "kvt" for k in range(4)]
+    return [c for c in wanted if c in columns]
+
+
+def _measure_names(columns):
+    return _sum_names(columns) + _LOWS + _HIGHS
 
 
 def fine_cells(points: DataFrame, keys=FRAME_KEYS, cls="pred", conf="conf", truth=None,
@@ -33,17 +40,16 @@ def fine_cells(points: DataFrame, keys=FRAME_KEYS, cls="pred", conf="conf", trut
     """Statistics of every occupied cell of one size (finite points under 100 m)."""
     conf = G.as_col(conf) if conf is not None else F.lit(1.0)
     cls = G.as_col(cls)
-    vote = F.round(conf * VOTE_SCALE).cast("long")
+    vote = F.floor(conf * VOTE_SCALE + 0.5)
     one, none = F.lit(1), F.lit(0)
     aggs = [F.count(one).alias("n"), F.sum("z").alias("sz"),
             F.sum(F.col("z") * F.col("z")).alias("szz"),
-            F.min("z").alias("zmin"), F.max("z").alias("zmax"),
-            F.sum(F.when(is_obstacle(cls), one).otherwise(none)).alias("obst")]
+            F.min("z").alias("zmin"), F.max("z").alias("zmax")]
     for k in range(4):
         aggs.append(F.sum(F.when(cls == k, one).otherwise(none)).alias(f"k{k}"))
         aggs.append(F.sum(F.when(cls == k, vote).otherwise(F.lit(0).cast("long"))).alias(f"v{k}"))
-        true_k = none if truth is None else F.when(F.col(truth) == k, one).otherwise(none)
-        aggs.append(F.sum(true_k).alias(f"t{k}"))
+        if truth is not None:
+            aggs.append(F.sum(F.when(F.col(truth) == k, one).otherwise(none)).alias(f"t{k}"))
     return (points.where(G.in_range())
             .groupBy(*keys, G.cell_index("x", size).alias("ix"),
                      G.cell_index("y", size).alias("iy"))
@@ -55,12 +61,16 @@ def _variance(n, sz, szz) -> Column:
     return F.greatest(F.lit(0.0), szz / n - mean * mean)
 
 
-def describe(size: Column, ix: Column, iy: Column, m: dict) -> dict:
-    """Leaf attributes from cell sums ``m``."""
-    share = m["obst"] / m["n"]
+def describe(size: Column, ix: Column, iy: Column, m: dict, mixed: Column) -> dict:
+    """Leaf attributes from cell sums ``m`` and the class-mixture test ``mixed``."""
+    share = (m["k2"] + m["k3"]) / m["n"]
     top = F.greatest(*[m[f"v{k}"] for k in range(4)])
+    truth = {}
+    if "t0" in m:
+        truth = {"truth_class": argmax4([m[f"t{k}"] for k in range(4)]),
+                 "truth_kinds": sum(((m[f"t{k}"] > 0).cast("int") for k in range(4)), F.lit(0))}
     return {
-        "size_mm": F.round(size * 1000).cast("int"), "lx": ix, "ly": iy,
+        "size_mm": F.floor(size * 1000 + 0.5).cast("int"), "lx": ix, "ly": iy,
         "x": ix * size, "y": iy * size, "size": size,
         "min_z": m["zmin"], "max_z": m["zmax"], "mean_z": m["sz"] / m["n"],
         "point_count": m["n"],
@@ -68,24 +78,19 @@ def describe(size: Column, ix: Column, iy: Column, m: dict) -> dict:
         "class_confidence": top / VOTE_SCALE / m["n"],
         "occupancy_variance": share * (1 - share),
         "height_variance": _variance(m["n"], m["sz"], m["szz"]),
-        "semantic_complexity": semantic_split([m[f"k{k}"] for k in range(4)]),
-        "truth_class": argmax4([m[f"t{k}"] for k in range(4)]),
-        "truth_kinds": sum(((m[f"t{k}"] > 0).cast("int") for k in range(4)), F.lit(0)),
+        "semantic_complexity": mixed,
+        **truth,
     }
 
 
-LEAF_COLUMNS = ["size_mm", "lx", "ly", "x", "y", "size", "min_z", "max_z", "mean_z",
-                "point_count", "dominant_class", "class_confidence", "occupancy_variance",
-                "height_variance", "semantic_complexity", "truth_class", "truth_kinds"]
-
-
 def cell_aggregate(points: DataFrame, size=UNIT_M, **options) -> DataFrame:
     """One row per occupied cell of a single size, fully described."""
     keys = options.get("keys", FRAME_KEYS)
     cells = fine_cells(points, size=size, **options)
-    m = {name: F.col(name) for name in MEASURES}
-    attrs = describe(F.lit(float(size)), F.col("ix"), F.col("iy"), m)
-    return cells.select(*keys, *[attrs[c].alias(c) for c in LEAF_COLUMNS])
+    m = {name: F.col(name) for name in _measure_names(cells.columns)}
+    attrs = describe(F.lit(float(size)), F.col("ix"), F.col("iy"), m,
+                     semantic_split([F.col(f"k{k}") for k in range(4)]))
+    return cells.select(*keys, *[v.alias(c) for c, v in attrs.items()])
 
 
 def _with_tiers(cells: DataFrame, keys) -> DataFrame:
@@ -95,14 +100,20 @@ def _with_tiers(cells: DataFrame, keys) -> DataFrame:
                  .withColumn(f"py{units}", G.parent_index("iy", units)))
     cells = cells.withColumn("cell", G.cell_key("ix", "iy"))
     top = [*keys, "px10", "py10"]
+    sums = _sum_names(cells.columns)
+    cells = cells.select("*", F.struct(*_measure_names(cells.columns)).alias("at_1"))
     # Finest window first: its sort order also serves the 0.5 m window.
     for units in (5, 10, 2):
         w = W.partitionBy(*top, *([] if units == 10 else [f"px{units}", f"py{units}"]))
-        extra = [F.sum(c).over(w).alias(f"{c}_{units}") for c in _SUMS]
-        extra += [F.min(c).over(w).alias(f"{c}_{units}") for c in _LOWS]
-        extra += [F.max(c).over(w).alias(f"{c}_{units}") for c in _HIGHS]
-        extra.append((F.min("cell").over(w) == F.col("cell")).alias(f"first_{units}"))
-        cells = cells.select("*", *extra)
+        inner = [F.sum(c).over(w).alias(f"w_{c}") for c in sums]
+        inner += [F.min(c).over(w).alias(f"w_{c}") for c in _LOWS]
+        inner += [F.max(c).over(w).alias(f"w_{c}") for c in _HIGHS]
+        inner.append((F.min("cell").over(w) == F.col("cell")).alias(f"first_{units}"))
+        kept = cells.columns
+        cells = cells.select("*", *inner).select(
+            *kept, f"first_{units}",
+            F.struct(*[F.col(f"w_{c}").alias(c) for c in sums + _LOWS + _HIGHS])
+            .alias(f"at_{units}"))
     return cells
 
 
@@ -116,7 +127,8 @@ def _with_policy_tests(cells: DataFrame, rules) -> DataFrame:
     Distances are projected before the tests that reuse them many times.
     """
     kinds = {_kind(r): r for r in rules}
-    near, tests = [], []
+    near = []
+    tests = [semantic_split([F.col(f"k{k}") for k in range(4)]).alias("mixed_1")]
     for units in (10, 5, 2):
         size = units * UNIT_M
         ox, oy = F.col(f"px{units}") * size, F.col(f"py{units}") * size
@@ -125,12 +137,12 @@ def _with_policy_tests(cells: DataFrame, rules) -> DataFrame:
         for fovea in {r["fovea"] for r in rules}:
             near.append(G.region_near(ox, oy, size, F.col("speed"), F.col("heading"), fovea)
                         .alias(f"near_{int(fovea)}_{units}"))
-        near.append(_variance(*[F.col(f"{c}_{units}") for c in ("n", "sz", "szz")])
+        near.append(_variance(*[F.col(f"at_{units}")[c] for c in ("n", "sz", "szz")])
                     .cast("float").alias(f"spread_{units}"))
         # Leaves store 32-bit heights; the limit is tested at that precision.
         tests.append((F.col(f"spread_{units}") > F.lit(HEIGHT_VARIANCE_LIMIT).cast("float"))
                      .alias(f"rough_{units}"))
-        tests.append(semantic_split([F.col(f"k{k}_{units}") for k in range(4)])
+        tests.append(semantic_split([F.col(f"at_{units}")[f"k{k}"] for k in range(4)])
                      .alias(f"mixed_{units}"))
         for kind, rule in kinds.items():
             ceiling = G.transition_blend(F.col(f"near_{int(rule['fovea'])}_{units}"),
@@ -197,37 +209,34 @@ def grid_cells(points: DataFrame, policies=("adaptive",), motion: DataFrame = No
         cells = _with_policy_tests(cells, [POLICY_RULES[p] for p in coarse])
     cells = cells.select("*", F.inline(F.array(*[_policy_struct(p) for p in policies])))
     u = F.col("units")
+    measures = _measure_names(cells.columns)
 
-    def at_tier(name):
-        fine = F.col("ix" if name == "px" else "iy" if name == "py" else name)
+    def by_tier(name, fine):
         if not coarse:
             return fine
-        return (F.when(u == 10, F.col(f"{name}10" if name in ("px", "py") else f"{name}_10"))
-                .when(u == 5, F.col(f"{name}5" if name in ("px", "py") else f"{name}_5"))
-                .when(u == 2, F.col(f"{name}2" if name in ("px", "py") else f"{name}_2"))
-                .otherwise(fine))
-    size = F.when(u == 10, 0.5).when(u == 5, 0.25).when(u == 2, 0.1).otherwise(UNIT_M)
-    is_leaf = F.lit(True)
-    if coarse:
-        is_leaf = (F.when(u == 10, F.col("first_10")).when(u == 5, F.col("first_5"))
-                   .when(u == 2, F.col("first_2")).otherwise(True))
-    # The leaf's sums become plain columns before anything is derived from them.
+        return (F.when(u == 10, F.col(f"{name}10")).when(u == 5, F.col(f"{name}5"))
+                .when(u == 2, F.col(f"{name}2")).otherwise(fine))
+    # The leaf's sums become one plain column before anything is derived from them.
     cells = cells.select(
-        "*", size.alias("leaf_size"), at_tier("px").alias("leaf_ix"),
-        at_tier("py").alias("leaf_iy"), is_leaf.alias("is_leaf"),
-        *[at_tier(c).alias(f"leaf_{c}") for c in MEASURES])
+        "*", (u * UNIT_M).alias("leaf_size"), by_tier("px", F.col("ix")).alias("leaf_ix"),
+        by_tier("py", F.col("iy")).alias("leaf_iy"),
+        by_tier("first_", F.lit(True)).alias("is_leaf"),
+        by_tier("at_", F.struct(*measures)).alias("leaf"),
+        by_tier("mixed_", F.col("mixed_1") if coarse else semantic_split(
+            [F.col(f"k{k}") for k in range(4)])).alias("leaf_mixed"))
     attrs = describe(F.col("leaf_size"), F.col("leaf_ix"), F.col("leaf_iy"),
-                     {c: F.col(f"leaf_{c}") for c in MEASURES})
-    fine = {c: F.col(c) for c in MEASURES}
-    fine_attrs = {
-        "fine_mean_z": fine["sz"] / fine["n"], "fine_min_z": fine["zmin"],
-        "fine_max_z": fine["zmax"], "fine_truth": argmax4([fine[f"t{k}"] for k in range(4)]),
-        "fine_complex": (_variance(fine["n"], fine["sz"], fine["szz"]).cast("float")
-                         > F.lit(HEIGHT_VARIANCE_LIMIT).cast("float"))
-        | semantic_split([fine[f"t{k}"] for k in range(4)]),
-    }
+                     {c: F.col("leaf")[c] for c in measures}, F.col("leaf_mixed"))
+    fine = {c: F.col(c) for c in measures}
+    fine_attrs = {"fine_mean_z": fine["sz"] / fine["n"], "fine_min_z": fine["zmin"],
+                  "fine_max_z": fine["zmax"]}
+    if "t0" in fine:
+        counts = [fine[f"t{k}"] for k in range(4)]
+        fine_attrs["fine_truth"] = argmax4(counts)
+        fine_attrs["fine_complex"] = semantic_split(counts) | (
+            _variance(fine["n"], fine["sz"], fine["szz"]).cast("float")
+            > F.lit(HEIGHT_VARIANCE_LIMIT).cast("float"))
     return cells.select(*keys, *extra, "policy", "ix", "iy", "splits", "is_leaf",
-                        *[attrs[c].alias(c) for c in LEAF_COLUMNS],
+                        *[v.alias(c) for c, v in attrs.items()],
                         *[v.alias(c) for c, v in fine_attrs.items()])
 
 

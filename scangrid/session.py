@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Runtime re-planning splits skewed join partitions and merges tiny ones; the
 # forced variant also splits when the join output feeds an aggregate.
 RECOMMENDED_CONF = {
+    # Wide map projections compile to methods over the JIT size limit.
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
