@@ -21,7 +21,7 @@ CONF_SQL = ("conf_counts as (select sequence, frame_id, truth, least(pred, 4) as
 
 
 @register("confusion_dense", V.with_sql(V.POINTS_SQL, CONF_SQL, body="""
- select sequence, frame_id, cast(t as integer) as truth, cast(p as integer) as pred, coalesce(n, 0) as n
+ select f.sequence, f.frame_id, cast(t as integer) as truth, cast(p as integer) as pred, coalesce(n, 0) as n
  from (select distinct sequence, frame_id from conf_counts) f cross join range(4) a(t) cross join range(5) b(p)
  left join conf_counts c on c.sequence=f.sequence and c.frame_id=f.frame_id and c.truth=t and c.pred=p"""))
 def confusion_dense(spark, sf):
