@@ -74,7 +74,8 @@ def ray_cells(limits: DataFrame, keys, extent=20.0, res=0.2) -> DataFrame:
     steps = F.ceil(far / (res / 2)).cast("int")
     angle = (F.col("sector") + 0.5) * (2 * math.pi / SECTORS) - math.pi
     rays = (limits.where(F.col("farthest") > F.lit(0.3).cast("float"))
-            .withColumn("_d", F.explode(F.sequence(F.lit(0), steps - 1)) * (res / 2))
+            .withColumn("_d", F.explode(F.sequence(F.lit(0), steps - 1)))
+            .withColumn("_d", F.col("_d") * (res / 2))
             .withColumn("ix", F.floor((F.col("_d") * F.cos(angle) + half) / res))
             .withColumn("iy", F.floor((F.col("_d") * F.sin(angle) + half) / res)))
     return rays.where(F.col("ix").between(0, width - 1) & F.col("iy").between(0, width - 1)).select(
