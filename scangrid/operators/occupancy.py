@@ -133,8 +133,11 @@ def corridor_status(points: DataFrame, cells: DataFrame, keys=("sequence", "fram
 def flatten_map(cells: DataFrame, keys=("sequence", "frame_id"), extent=20.0, res=0.2):
     """Row-major array of the whole map, -1 where unknown (a fixed W x W array per frame)."""
     width = int(round(extent / res))
-    known = cells.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
-        (F.col("iy") * width + F.col("ix")).cast("int"), "value"))).alias("_known"))
-    every = F.sequence(F.lit(0), F.lit(width * width - 1))
-    return known.select(*keys, F.transform(
-        every, lambda i: F.coalesce(F.element_at("_known", i), F.lit(UNKNOWN))).alias("data"))
+    pos = (F.col("iy") * width + F.col("ix")).cast("int").alias("pos")
+    blank = cells.select(*keys).distinct().select(
+        *keys, F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("pos"),
+        F.lit(UNKNOWN).alias("value"))
+    full = cells.select(*keys, pos, "value").unionByName(blank).groupBy(*keys, "pos").agg(
+        F.max("value").alias("value"))
+    return full.groupBy(*keys).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("data"))
