@@ -15,7 +15,10 @@ def table(spark: SparkSession, sf, name) -> DataFrame:
 
 
 def points(spark, sf) -> DataFrame:
-    li = table(spark, sf, "lineitem")
+    return points_of(table(spark, sf, "lineitem"))
+
+
+def points_of(li: DataFrame) -> DataFrame:
     pk, sk = F.col("l_partkey"), F.col("l_suppkey")
     u = (pk * 7919) % 2001 - 1000
     v = (pk * 104729) % 2001 - 1000
@@ -105,7 +108,10 @@ RAW_SQL = """raw_labels as (
 
 def frame_stats(spark, sf) -> DataFrame:
     """Per-frame runtime rows from the event stream."""
-    e = table(spark, sf, "events")
+    return frame_stats_of(table(spark, sf, "events"))
+
+
+def frame_stats_of(e: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         (F.col("user_id") % 11).alias("sequence"), F.col("event_id").alias("frame_id"), "ts",

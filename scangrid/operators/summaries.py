@@ -27,7 +27,8 @@ def strata_summary(frame_scores: DataFrame, strata: DataFrame, keys=("sequence",
 
 def throughput(rows: DataFrame, by, ts="ts") -> DataFrame:
     """Completed frames, seconds between first and last, frames per second."""
-    elapsed = (F.unix_micros(F.max(ts)) - F.unix_micros(F.min(ts))) / 1e6
+    at = F.col(ts).cast("timestamp")
+    elapsed = (F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))) / 1e6
     n = F.count(F.lit(1))
     return rows.groupBy(*by).agg(n.alias("completed"), elapsed.alias("elapsed_s"),
                                  F.when(elapsed > 0, n / elapsed).alias("fps"))
