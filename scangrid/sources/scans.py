@@ -166,8 +166,8 @@ def scan_archive(spark: SparkSession, path: str, limit=300):
 
 def scan_poses(spark: SparkSession, path: str) -> DataFrame:
     """Rows of ``poses.txt`` files: frame number = line number, 12 numbers each."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "poses.txt").text(path)
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="poses.txt",
+                            recursiveFileLookup=True)
     lines = files.select(
         F.regexp_extract("_metadata.file_path", SEQUENCE_OF, 1).alias("sequence"),
         F.posexplode(F.split(F.trim("value"), "\n")).alias("frame_id", "line"))
