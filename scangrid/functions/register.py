@@ -1,28 +1,14 @@
 """Policy functions for SQL users, as temporary SQL scalar functions."""
-import math
-
 from pyspark.sql import SparkSession
 
-from ..schema import CHI2_99_DF3
+from . import text
 
 
 def register_sql_functions(spark: SparkSession) -> None:
     """Create ``fovea_distance`` and ``semantic_split`` in the session."""
-    speed = "least(greatest(v, 0D), 80D)"
-    px = f"(x - least(0.2D * {speed}, 5D) * cos(h))"
-    py = f"(y - least(0.2D * {speed}, 5D) * sin(h))"
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION fovea_distance(
-        x DOUBLE, y DOUBLE, v DOUBLE, h DOUBLE) RETURNS DOUBLE
-        RETURN sqrt(pow(({px} * cos(h) + {py} * sin(h)) / least(1 + 0.033D * {speed}, 2D), 2)
-                    + pow({py} * cos(h) - {px} * sin(h), 2))""")
-    n = "(a + b + c + d)"
-    top = "greatest(a, b, c, d)"
-    logs = " + ".join(f"{k} * ln(greatest({k}, 1D))" for k in "abcd")
-    rare, main = f"({n} * 0.05D / 3)", f"({n} * 0.95D)"
-    squares = f"(a * a + b * b + c * c + d * d - {top} * {top})"
-    statistic = (f"(({squares} - 2 * {rare} * ({n} - {top})) / {rare} + 3 * {rare}"
-                 f" + pow({top} - {main}, 2) / {main})")
-    spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION semantic_split(
-        a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS BOOLEAN
-        RETURN CASE WHEN {rare} >= 5 THEN {top} < {main} AND {statistic} > {CHI2_99_DF3}D
-        ELSE ln(greatest({n}, 1D)) - ({logs}) / greatest({n}, 1D) > {0.18 * math.log(4)!r}D END""")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION fovea_distance("
+              "x DOUBLE, y DOUBLE, v DOUBLE, h DOUBLE) RETURNS DOUBLE RETURN "
+              + text.fovea_distance("x", "y", "v", "h"))
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION semantic_split("
+              "a DOUBLE, b DOUBLE, c DOUBLE, d DOUBLE) RETURNS BOOLEAN RETURN "
+              + text.semantic_split("a", "b", "c", "d"))

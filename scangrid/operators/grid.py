@@ -4,10 +4,9 @@ Points are aggregated once into 5 cm cells; every coarser tier is a window sum
 over those cells inside their 0.5 m parent (at most 100 cells), so points are
 shuffled once, hot cells are combined map-side, and no tier rescans the points.
 """
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions import geom as G
-from ..functions.semantics import argmax4, semantic_split
+from ..functions import geom as G, text
 from ..schema import (FRAME_KEYS, HEIGHT_VARIANCE_LIMIT, LEAF_BYTES, POLICIES, SAFETY_RADIUS_M,
                       UNIT_M, UNKNOWN_CLASS)
 
@@ -56,64 +55,59 @@ def fine_cells(points: DataFrame, keys=FRAME_KEYS, cls="pred", conf="conf", trut
             .agg(*aggs))
 
 
-def _variance(n, sz, szz) -> Column:
-    mean = sz / n
-    return F.greatest(F.lit(0.0), szz / n - mean * mean)
-
-
-def describe(size: Column, ix: Column, iy: Column, m: dict, mixed: Column) -> dict:
-    """Leaf attributes from cell sums ``m`` and the class-mixture test ``mixed``."""
-    share = (m["k2"] + m["k3"]) / m["n"]
-    top = F.greatest(*[m[f"v{k}"] for k in range(4)])
-    truth = {}
-    if "t0" in m:
-        truth = {"truth_class": argmax4([m[f"t{k}"] for k in range(4)]),
-                 "truth_kinds": sum(((m[f"t{k}"] > 0).cast("int") for k in range(4)), F.lit(0))}
-    return {
-        "size_mm": F.floor(size * 1000 + 0.5).cast("int"), "lx": ix, "ly": iy,
-        "x": ix * size, "y": iy * size, "size": size,
-        "min_z": m["zmin"], "max_z": m["zmax"], "mean_z": m["sz"] / m["n"],
-        "point_count": m["n"],
-        "dominant_class": argmax4([m[f"v{k}"] for k in range(4)]),
-        "class_confidence": top / VOTE_SCALE / m["n"],
-        "occupancy_variance": share * (1 - share),
-        "height_variance": _variance(m["n"], m["sz"], m["szz"]),
+def describe(size, ix, iy, m, mixed) -> dict:
+    """SQL text of the leaf attributes, from the text of its cell sums ``m``."""
+    votes = [m[f"v{k}"] for k in range(4)]
+    share = f"(({m['k2']} + {m['k3']}) / {m['n']})"
+    out = {
+        "size_mm": f"cast(floor({size} * 1000D + 0.5D) as int)", "lx": ix, "ly": iy,
+        "x": f"{ix} * {size}", "y": f"{iy} * {size}", "size": size,
+        "min_z": m["zmin"], "max_z": m["zmax"], "mean_z": f"{m['sz']} / {m['n']}",
+        "point_count": m["n"], "dominant_class": text.argmax4(*votes),
+        "class_confidence": f"greatest({', '.join(votes)}) / {VOTE_SCALE}D / {m['n']}",
+        "occupancy_variance": f"{share} * (1D - {share})",
+        "height_variance": text.variance(m["n"], m["sz"], m["szz"]),
         "semantic_complexity": mixed,
-        **truth,
     }
+    if "t0" in m:
+        truth = [m[f"t{k}"] for k in range(4)]
+        out["truth_class"] = text.argmax4(*truth)
+        out["truth_kinds"] = " + ".join(f"cast({t} > 0 as int)" for t in truth)
+    return out
+
+
+def _named(attrs: dict):
+    return [f"{v} as {k}" for k, v in attrs.items()]
+
+
+def _mixture(prefix):
+    return text.semantic_split(*[f"{prefix}k{k}" for k in range(4)])
 
 
 def cell_aggregate(points: DataFrame, size=UNIT_M, **options) -> DataFrame:
     """One row per occupied cell of a single size, fully described."""
     keys = options.get("keys", FRAME_KEYS)
     cells = fine_cells(points, size=size, **options)
-    m = {name: F.col(name) for name in _measure_names(cells.columns)}
-    attrs = describe(F.lit(float(size)), F.col("ix"), F.col("iy"), m,
-                     semantic_split([F.col(f"k{k}") for k in range(4)]))
-    return cells.select(*keys, *[v.alias(c) for c, v in attrs.items()])
+    m = {name: name for name in _measure_names(cells.columns)}
+    return cells.selectExpr(*keys, *_named(describe(f"{float(size)}D", "ix", "iy", m, _mixture(""))))
 
 
 def _with_tiers(cells: DataFrame, keys) -> DataFrame:
     """Add each tier's sums to every 5 cm cell; all windows sit inside one 0.5 m cell."""
-    for units in (10, 5, 2):
-        cells = (cells.withColumn(f"px{units}", G.parent_index("ix", units))
-                 .withColumn(f"py{units}", G.parent_index("iy", units)))
-    cells = cells.withColumn("cell", G.cell_key("ix", "iy"))
+    measures, sums = _measure_names(cells.columns), _sum_names(cells.columns)
+    parents = [f"floor({a} / {u}D) as p{a[1]}{u}" for u in (10, 5, 2) for a in ("ix", "iy")]
+    cells = cells.selectExpr("*", *parents, "(ix + 4096) * 8192 + iy + 4096 as cell",
+                             f"struct({', '.join(measures)}) as at_1")
     top = [*keys, "px10", "py10"]
-    sums = _sum_names(cells.columns)
-    cells = cells.select("*", F.struct(*_measure_names(cells.columns)).alias("at_1"))
+    call = {**{c: "sum" for c in sums}, **{c: "min" for c in _LOWS}, **{c: "max" for c in _HIGHS}}
     # Finest window first: its sort order also serves the 0.5 m window.
-    for units in (5, 10, 2):
-        w = W.partitionBy(*top, *([] if units == 10 else [f"px{units}", f"py{units}"]))
-        inner = [F.sum(c).over(w).alias(f"w_{c}") for c in sums]
-        inner += [F.min(c).over(w).alias(f"w_{c}") for c in _LOWS]
-        inner += [F.max(c).over(w).alias(f"w_{c}") for c in _HIGHS]
-        inner.append((F.min("cell").over(w) == F.col("cell")).alias(f"first_{units}"))
+    for u in (5, 10, 2):
+        part = ", ".join([*top, *([] if u == 10 else [f"px{u}", f"py{u}"])])
         kept = cells.columns
-        cells = cells.select("*", *inner).select(
-            *kept, f"first_{units}",
-            F.struct(*[F.col(f"w_{c}").alias(c) for c in sums + _LOWS + _HIGHS])
-            .alias(f"at_{units}"))
+        cells = cells.selectExpr(
+            "*", *[f"{fn}({c}) over (partition by {part}) as w_{c}" for c, fn in call.items()],
+            f"min(cell) over (partition by {part}) = cell as first_{u}").selectExpr(
+            *kept, f"first_{u}", f"struct({', '.join(f'w_{c} as {c}' for c in measures)}) as at_{u}")
     return cells
 
 
@@ -127,56 +121,45 @@ def _with_policy_tests(cells: DataFrame, rules) -> DataFrame:
     Distances are projected before the tests that reuse them many times.
     """
     kinds = {_kind(r): r for r in rules}
-    near = []
-    tests = [semantic_split([F.col(f"k{k}") for k in range(4)]).alias("mixed_1")]
-    for units in (10, 5, 2):
-        size = units * UNIT_M
-        ox, oy = F.col(f"px{units}") * size, F.col(f"py{units}") * size
-        near.append(G.spatial_dither(ox, oy).alias(f"dither_{units}"))
-        near.append(G.closest_corner_distance(ox, oy, size).alias(f"corner_{units}"))
+    near, tests = [], [f"{_mixture('')} as mixed_1"]
+    for u in (10, 5, 2):
+        size, ox, oy = u * UNIT_M, f"(px{u} * {u * UNIT_M}D)", f"(py{u} * {u * UNIT_M}D)"
+        near.append(f"{text.dither(ox, oy)} as dither_{u}")
+        near.append(f"{text.corner_distance(ox, oy, size)} as corner_{u}")
         for fovea in {r["fovea"] for r in rules}:
-            near.append(G.region_near(ox, oy, size, F.col("speed"), F.col("heading"), fovea)
-                        .alias(f"near_{int(fovea)}_{units}"))
-        near.append(_variance(*[F.col(f"at_{units}")[c] for c in ("n", "sz", "szz")])
-                    .cast("float").alias(f"spread_{units}"))
+            near.append(f"{text.region_near(ox, oy, size, 'speed', 'heading', fovea)} "
+                        f"as near_{int(fovea)}_{u}")
+        spread = text.variance(*[f"at_{u}.{c}" for c in ("n", "sz", "szz")])
+        near.append(f"cast({spread} as float) as spread_{u}")
         # Leaves store 32-bit heights; the limit is tested at that precision.
-        tests.append((F.col(f"spread_{units}") > F.lit(HEIGHT_VARIANCE_LIMIT).cast("float"))
-                     .alias(f"rough_{units}"))
-        tests.append(semantic_split([F.col(f"at_{units}")[f"k{k}"] for k in range(4)])
-                     .alias(f"mixed_{units}"))
+        tests.append(f"spread_{u} > cast({HEIGHT_VARIANCE_LIMIT!r}D as float) as rough_{u}")
+        tests.append(f"{_mixture(f'at_{u}.')} as mixed_{u}")
         for kind, rule in kinds.items():
-            ceiling = G.transition_blend(F.col(f"near_{int(rule['fovea'])}_{units}"),
-                                         F.col(f"dither_{units}"))
-            if rule["safety"]:
-                ceiling = F.when(F.col(f"corner_{units}") <= SAFETY_RADIUS_M,
-                                 UNIT_M).otherwise(ceiling)
-            tests.append(ceiling.alias(f"ceil_{kind}_{units}"))
-    return cells.select("*", *near).select("*", *tests)
+            corner = f"corner_{u}" if rule["safety"] else None
+            tests.append(text.ceiling(f"near_{int(rule['fovea'])}_{u}", f"dither_{u}", corner,
+                                      SAFETY_RADIUS_M) + f" as ceil_{kind}_{u}")
+    return cells.selectExpr("*", *near).selectExpr("*", *tests)
 
 
-def _policy_struct(policy: str) -> Column:
-    """Leaf tier of a 5 cm cell under one policy, and the splits first seen at it."""
+def _policy_struct(policy: str) -> str:
+    """SQL text: leaf tier of a 5 cm cell under one policy, and the splits first seen at it."""
     if policy == "uniform":
-        return F.struct(F.lit(policy).alias("policy"), F.lit(1).alias("units"),
-                        F.lit(0).alias("splits"))
+        return "struct('uniform' as policy, 1 as units, 0 as splits)"
     rule = POLICY_RULES[policy]
-    kind = _kind(rule)
+    ceil = f"ceil_{_kind(rule)}_"
     split = {}
-    for units in (10, 5, 2):
-        s = F.col(f"ceil_{kind}_{units}") < units * UNIT_M - 1e-6
-        if rule["height"]:
-            s = s | F.col(f"rough_{units}")
-        if rule["mixture"]:
-            s = s | F.col(f"mixed_{units}")
-        split[units] = s
-    tenth = F.col(f"ceil_{kind}_10") <= 0.100001
-    units = (F.when(~split[10], 10)
-             .when(tenth, F.when(split[2], 1).otherwise(2))
-             .otherwise(F.when(split[5], 1).otherwise(5)))
-    splits = ((split[10] & F.col("first_10")).cast("int")
-              + (split[10] & tenth & split[2] & F.col("first_2")).cast("int")
-              + (split[10] & ~tenth & split[5] & F.col("first_5")).cast("int"))
-    return F.struct(F.lit(policy).alias("policy"), units.alias("units"), splits.alias("splits"))
+    for u in (10, 5, 2):
+        tests = [f"{ceil}{u} < {u * UNIT_M - 1e-6!r}D"]
+        tests += [f"rough_{u}"] if rule["height"] else []
+        tests += [f"mixed_{u}"] if rule["mixture"] else []
+        split[u] = "(" + " OR ".join(tests) + ")"
+    tenth = f"({ceil}10 <= 0.100001D)"
+    units = (f"CASE WHEN NOT {split[10]} THEN 10 WHEN {tenth} THEN if({split[2]}, 1, 2) "
+             f"ELSE if({split[5]}, 1, 5) END")
+    splits = (f"cast({split[10]} AND first_10 as int) "
+              f"+ cast({split[10]} AND {tenth} AND {split[2]} AND first_2 as int) "
+              f"+ cast({split[10]} AND NOT {tenth} AND {split[5]} AND first_5 as int)")
+    return f"struct('{policy}' as policy, {units} as units, {splits} as splits)"
 
 
 def grid_cells(points: DataFrame, policies=("adaptive",), motion: DataFrame = None,
@@ -207,37 +190,33 @@ def grid_cells(points: DataFrame, policies=("adaptive",), motion: DataFrame = No
                  .withColumn("heading", F.coalesce("heading", F.lit(0.0))))
     if coarse:
         cells = _with_policy_tests(cells, [POLICY_RULES[p] for p in coarse])
-    cells = cells.select("*", F.inline(F.array(*[_policy_struct(p) for p in policies])))
-    u = F.col("units")
+    structs = ", ".join(_policy_struct(p) for p in policies)
+    # The generator also keeps the tier choice from being copied into every leaf column.
+    cells = cells.selectExpr("*", f"inline(array({structs}))")
     measures = _measure_names(cells.columns)
 
     def by_tier(name, fine):
         if not coarse:
             return fine
-        return (F.when(u == 10, F.col(f"{name}10")).when(u == 5, F.col(f"{name}5"))
-                .when(u == 2, F.col(f"{name}2")).otherwise(fine))
+        return (f"CASE WHEN units = 10 THEN {name}10 WHEN units = 5 THEN {name}5 "
+                f"WHEN units = 2 THEN {name}2 ELSE {fine} END")
     # The leaf's sums become one plain column before anything is derived from them.
-    cells = cells.select(
-        "*", (u * UNIT_M).alias("leaf_size"), by_tier("px", F.col("ix")).alias("leaf_ix"),
-        by_tier("py", F.col("iy")).alias("leaf_iy"),
-        by_tier("first_", F.lit(True)).alias("is_leaf"),
-        by_tier("at_", F.struct(*measures)).alias("leaf"),
-        by_tier("mixed_", F.col("mixed_1") if coarse else semantic_split(
-            [F.col(f"k{k}") for k in range(4)])).alias("leaf_mixed"))
-    attrs = describe(F.col("leaf_size"), F.col("leaf_ix"), F.col("leaf_iy"),
-                     {c: F.col("leaf")[c] for c in measures}, F.col("leaf_mixed"))
-    fine = {c: F.col(c) for c in measures}
-    fine_attrs = {"fine_mean_z": fine["sz"] / fine["n"], "fine_min_z": fine["zmin"],
-                  "fine_max_z": fine["zmax"]}
-    if "t0" in fine:
-        counts = [fine[f"t{k}"] for k in range(4)]
-        fine_attrs["fine_truth"] = argmax4(counts)
-        fine_attrs["fine_complex"] = semantic_split(counts) | (
-            _variance(fine["n"], fine["sz"], fine["szz"]).cast("float")
-            > F.lit(HEIGHT_VARIANCE_LIMIT).cast("float"))
-    return cells.select(*keys, *extra, "policy", "ix", "iy", "splits", "is_leaf",
-                        *[v.alias(c) for c, v in attrs.items()],
-                        *[v.alias(c) for c, v in fine_attrs.items()])
+    cells = cells.selectExpr(
+        "*", f"units * {UNIT_M}D as leaf_size", f"{by_tier('px', 'ix')} as leaf_ix",
+        f"{by_tier('py', 'iy')} as leaf_iy", f"{by_tier('first_', 'true')} as is_leaf",
+        f"{by_tier('at_', 'at_1') if coarse else f'struct({chr(44).join(measures)})'} as leaf",
+        f"{by_tier('mixed_', 'mixed_1' if coarse else _mixture(''))} as leaf_mixed")
+    attrs = describe("leaf_size", "leaf_ix", "leaf_iy", {c: f"leaf.{c}" for c in measures},
+                     "leaf_mixed")
+    fine = {"fine_mean_z": "sz / n", "fine_min_z": "zmin", "fine_max_z": "zmax"}
+    if "t0" in measures:
+        fine["fine_truth"] = text.argmax4("t0", "t1", "t2", "t3")
+        fine["fine_complex"] = (
+            f"cast({text.variance('n', 'sz', 'szz')} as float) > "
+            f"cast({HEIGHT_VARIANCE_LIMIT!r}D as float) OR "
+            f"({text.semantic_split('t0', 't1', 't2', 't3')})")
+    return cells.selectExpr(*keys, *extra, "policy", "ix", "iy", "splits", "is_leaf",
+                            *_named(attrs), *_named(fine))
 
 
 def leaves(cells: DataFrame) -> DataFrame:
