@@ -284,7 +284,7 @@ def _sides(spark, sf):
 
 def _knn(spark, sf, k):
     q, s = _sides(spark, sf)
-    return spatial.knn(q, s, ["block"], k, 0.15)
+    return spatial.knn(q, s, ["block"], k, (0.1, 0.3))
 
 
 @register("knn", V.with_sql(V.LOGITS_SQL, PAIRS, RANKED, body="""

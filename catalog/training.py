@@ -142,3 +142,72 @@ def scalar_geometry(spark, sf):
         F.round(G.near_block_distance(bx, by), 9).alias("block_distance"),
         F.round(rx, 9).alias("rx"), F.round(ry, 9).alias("ry"),
         F.round(G.spatial_dither("x", "y"), 5).alias("dither"))
+
+
+@register("even_centroids", V.with_sql(V.LOGITS_SQL, """
+ rk as (select block, vec_id, row_number() over (partition by block order by vec_id) - 1 as r, count(*) over (partition by block) as total from logits)""", body="""
+ select block, vec_id from rk semi join (select b2, case when i = k - 1 then total - 1 else cast(floor(i*((total-1)/cast(k-1 as double))) as bigint) end as pos
+  from (select block as b2, max(total) as total, least(max(total), 16) as k from rk group by 1) n, range(16) t(i) where i < k) p on b2=block and pos=r"""))
+def even_centroids(spark, sf):
+    from scangrid.operators.scale import evenly_spaced
+    return evenly_spaced(V.logits(spark, sf).select("block", "vec_id"), ["block"], ["vec_id"],
+                         F.floor(F.col("vec_id") / 16), 16)
+
+
+@register("farthest_points")
+def farthest_points(spark, sf):
+    """Sequential by nature; tested against brute force. Blocks are bounded by resampling."""
+    from scangrid.operators.normalize import farthest_points as pick
+    samples = B.resample_blocks(V.points(spark, sf), 64, 16).where("not is_repeat")
+    return pick(samples, B.BLOCK_KEYS, 8)
+
+
+@register("block_inventory", V.with_sql(V.POINTS_SQL, BLOCK_SQL, body="""
+ select case when frame_id = 7 then 'valid' else 'train' end as split, count(*) as blocks, count(distinct sequence) as sequences, count(distinct (sequence, frame_id)) as scans
+ from sizes where labelled > 32 and original_count >= 32 group by 1"""))
+def block_inventory(spark, sf):
+    from scangrid.sources.sinks import block_inventory as inventory
+    usable = B.usable_blocks(_sizes(spark, sf))
+    return inventory(usable.withColumn("split", F.when(F.col("frame_id") == 7, "valid").otherwise("train")))
+
+
+@register("prediction_table_roundtrip", V.with_sql(V.POINTS_SQL, body=f"""
+ select sequence, {RULE} as pred, count(*) as n from points group by 1, 2"""))
+def prediction_table_roundtrip(spark, sf):
+    """Predictions written by model signature and sequence, then read back."""
+    from scangrid.sources import sinks
+    from scangrid.streaming.frames import shared_folder
+    sig = predict.model_signature("height-rules", {"n": 4096})
+    rows = predict.apply_predictor(V.points(spark, sf).select(*K, "point_id", "x", "y", "z"), signature=sig)
+    path = shared_folder(spark, "predictions")
+    sinks.write_predictions(rows, path)
+    back = sinks.read_predictions(spark, path, sig)
+    return back.groupBy(F.col("sequence").cast("long").alias("sequence"), "pred").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("paired_models", V.with_sql(V.POINTS_SQL, f"""
+ both_models as (select sequence, frame_id, 'a' as model, truth, least(pred, 4) as pred from points where truth < 4
+  union all select sequence, frame_id, 'b', truth, {RULE} from points where truth < 4),
+ counts as (select sequence, frame_id, model, truth, pred, count(*) as n from both_models group by all)""", body=f"""
+ select sequence, frame_id, round(max(miou) filter (where model='b') - max(miou) filter (where model='a'), 9) as delta_miou
+ from ({S.scores_sql('counts', ('sequence', 'frame_id', 'model'))}) s group by 1, 2"""))
+def paired_models(spark, sf):
+    """Per-frame mean IoU of the rule predictor minus that of the stored predictions."""
+    from scangrid.operators import metrics as M
+    p = V.points(spark, sf).where("truth < 4")
+    a = p.select(*K, F.lit("a").alias("model"), "truth", "pred")
+    b = predict.apply_predictor(p).select(*K, F.lit("b").alias("model"), "truth", "pred")
+    by = [*K, "model"]
+    sc = M.scores(M.confusion(a.unionByName(b), by), by).withColumn("miou", F.round("miou", 9))
+    return M.paired_delta(sc, K, "model", "a", "b", ["miou"]).select(*K, r("delta_miou"))
+
+
+@register("previous_frame_pairs", V.with_sql(V.POSES_SQL, body="""
+ select a.sequence, a.frame_id, b.frame_id as previous_frame from poses a join poses b on a.sequence=b.sequence and a.frame_id=b.frame_id+1
+ where a.frame_id % 4 <> 0 and b.frame_id % 4 <> 0"""))
+def previous_frame_pairs(spark, sf):
+    """Only true predecessors pair up: every fourth frame is missing here."""
+    from scangrid.operators.motion import ego_transforms
+    kept = V.poses(spark, sf).where("frame_id % 4 <> 0")
+    return ego_transforms(kept).select(*K, "previous_frame")

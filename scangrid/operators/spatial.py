@@ -143,28 +143,33 @@ def crop_around(points: DataFrame, anchors: DataFrame, keys, r=4.0) -> DataFrame
 
 # --- k nearest neighbours inside a block -------------------------------------
 
-def knn(queries: DataFrame, sources: DataFrame, keys, k, r, query_id="q_id", source_id="s_id",
-        dims=XYZ) -> DataFrame:
+def knn(queries: DataFrame, sources: DataFrame, keys, k, radii, query_id="q_id",
+        source_id="s_id", dims=XYZ) -> DataFrame:
     """The ``k`` nearest sources of each query, ranked by (squared distance, id).
 
-    Neighbouring cells of size ``r`` answer every query whose k-th hit lies within
-    ``r``; only the others are compared with the rest of their block.
+    Radii grow. Neighbouring cells of size ``r`` answer every query whose k-th hit
+    lies within ``r``; only queries left after the last radius, such as those of
+    blocks with fewer than ``k`` sources, look at their whole block, which the
+    resampler bounds to a few thousand points.
     """
     keys = list(keys)
     cand = sources.select(*keys, source_id, *[F.col(d).alias(f"s_{d}") for d in dims])
-    hashed = cand.select("*", *[F.floor(F.col(f"s_{d}") / r).alias(f"_c{d}") for d in dims])
-    q = queries.select(*keys, query_id, *dims)
+    rest = queries.select(*keys, query_id, *dims)
     w = W.partitionBy(*keys, query_id).orderBy("d2", source_id)
 
     def top(joined):
         return (joined.withColumn("d2", square_distance(dims))
                 .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
                 .select(*keys, query_id, source_id, "d2", "rank"))
-    near = top(around(q, dims, r).join(hashed, [*keys, *[f"_c{d}" for d in dims]]))
-    done = near.where((F.col("rank") == k) & (F.col("d2") <= r * r)).select(*keys, query_id)
-    settled = near.join(done, [*keys, query_id], "left_semi")
-    rest = top(q.join(done, [*keys, query_id], "left_anti").join(cand, keys))
-    return settled.unionByName(rest)
+    out = None
+    for r in radii:
+        hashed = cand.select("*", *[F.floor(F.col(f"s_{d}") / r).alias(f"_c{d}") for d in dims])
+        near = top(around(rest, dims, r).join(hashed, [*keys, *[f"_c{d}" for d in dims]]))
+        done = near.where((F.col("rank") == k) & (F.col("d2") <= r * r)).select(*keys, query_id)
+        settled = near.join(done, [*keys, query_id], "left_semi")
+        out = settled if out is None else out.unionByName(settled)
+        rest = rest.join(done, [*keys, query_id], "left_anti")
+    return out.unionByName(top(rest.join(cand, keys)))
 
 
 def radius_knn(neighbours: DataFrame, keys, r, query_id="q_id", source_id="s_id") -> DataFrame:
