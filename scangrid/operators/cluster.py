@@ -42,8 +42,8 @@ def dbscan(points: DataFrame, keys, eps, min_samples) -> DataFrame:
 
     Positions are merged first. A cell of diagonal at most eps holding enough points
     is core as a whole, and all core points of one cell are one graph node, so dense
-    cells are settled by counting. ``eps`` and ``min_samples`` may be columns of
-    ``points`` that are constant per key group, given by name.
+    cells are settled by counting. ``eps`` and ``min_samples`` may be Columns over the
+    keys, so groups with different settings are clustered in one run.
     """
     keys = list(keys)
     at = [*keys, *XYZ]
@@ -92,7 +92,8 @@ PROPOSAL_RULES = ((2, 1.0, 5, (0.15, 0.15, 0.15)), (3, 0.5, 3, (0.3, 0.3, 0.4)))
 def oriented_boxes(members: DataFrame, keys, floor) -> DataFrame:
     """Box of each group: heading of the main axis, extents in that frame.
 
-    The heading is reported in (-90, 90] degrees; an axis has no sign. All sums are
+    ``floor`` gives the least sizes as Columns over the keys. The heading is reported
+    in (-90, 90] degrees; an axis has no sign. All sums are
     partial aggregates; the second pass only adds four extremes per group.
     """
     keys = list(keys)
@@ -116,18 +117,29 @@ def oriented_boxes(members: DataFrame, keys, floor) -> DataFrame:
         (F.col("mx") + mu * F.cos("yaw") - mv * F.sin("yaw")).alias("center_x"),
         (F.col("my") + mu * F.sin("yaw") + mv * F.cos("yaw")).alias("center_y"),
         ((F.col("z0") + F.col("z1")) / 2).alias("center_z"),
-        F.greatest(F.col("u1") - F.col("u0"), F.lit(floor[0])).alias("size_u"),
-        F.greatest(F.col("v1") - F.col("v0"), F.lit(floor[1])).alias("size_v"),
-        F.greatest(F.col("z1") - F.col("z0"), F.lit(floor[2])).alias("size_z"),
+        F.greatest(F.col("u1") - F.col("u0"), floor[0]).alias("size_u"),
+        F.greatest(F.col("v1") - F.col("v0"), floor[1]).alias("size_v"),
+        F.greatest(F.col("z1") - F.col("z0"), floor[2]).alias("size_z"),
         "yaw", "confidence", "points")
 
 
-def object_members(points: DataFrame, keys, cls, eps, min_samples, voxel=0.2) -> DataFrame:
-    """Full-resolution points of one class with their group: a cluster, or a lone voxel."""
-    keys = list(keys)
-    own = points.where(F.col("pred") == cls)
+def _per_class(rules, pick):
+    out = F.when(F.lit(False), pick(rules[0]))
+    for rule in rules:
+        out = out.when(F.col("class") == rule[0], pick(rule))
+    return out
+
+
+def object_members(points: DataFrame, keys, rules=PROPOSAL_RULES, voxel=0.2) -> DataFrame:
+    """Full-resolution obstacle points with their group: a cluster, or a lone voxel.
+
+    Only one point per occupied voxel is clustered, which bounds the density.
+    """
+    keys = [*keys, "class"]
+    own = points.where(F.col("pred").isin([r[0] for r in rules])).withColumn("class", F.col("pred"))
     reps = first_of_voxel(own, keys, voxel)
-    labelled = dbscan(reps, keys, eps, min_samples)
+    labelled = dbscan(reps, keys, _per_class(rules, lambda r: r[1]),
+                      _per_class(rules, lambda r: r[2]))
     at = [*keys, "vx", "vy", "vz"]
     tagged = own.select("*", *[G.voxel_index(d, voxel).alias(f"v{d}") for d in XYZ])
     rep = labelled.select(*at, F.coalesce("cluster", "point_id").alias("object_id"),
@@ -137,13 +149,9 @@ def object_members(points: DataFrame, keys, cls, eps, min_samples, voxel=0.2) ->
 
 def object_proposals(points: DataFrame, keys=("sequence", "frame_id"), rules=PROPOSAL_RULES):
     """Boxes of obstacle classes; lone voxels become their own fallback boxes."""
-    out = None
-    for cls, eps, minimum, floor in rules:
-        members = object_members(points, keys, cls, eps, minimum)
-        boxes = oriented_boxes(members, [*keys, "object_id", "fallback"], floor).withColumn(
-            "class", F.lit(cls))
-        out = boxes if out is None else out.unionByName(boxes)
-    return out
+    floor = [_per_class(rules, lambda r, i=i: r[3][i]) for i in range(3)]
+    return oriented_boxes(object_members(points, keys, rules),
+                          [*keys, "object_id", "fallback", "class"], floor)
 
 
 def fit_ribbons(members: DataFrame, keys, samples=24, tolerance=0.2, least=5) -> DataFrame:

@@ -40,15 +40,15 @@ def nearest_capped(queries: DataFrame, sources: DataFrame, keys, cap, radii=None
 
     Radii grow; a query is settled by the first radius that finds anything, because
     nothing closer can lie outside it. NULLs mean nothing within the cap. Ties go to
-    the smaller id.
+    the smaller id. Without ``radii`` the cap may be a Column over the keys.
     """
     keys = list(keys)
-    radii = [r for r in (radii or ()) if r < cap] + [cap]
+    radii = [*[r for r in (radii or ()) if r < cap], cap]
     at = [*keys, *dims]
     state = queries.select(*at).distinct().withColumn("_best", F.lit(None).cast(
         "struct<d:double,id:bigint>"))
     merged = sources.groupBy(*at).agg(F.min(source_id).alias("s_id"))
-    for r in radii:
+    for step, r in enumerate(radii):
         cand = _sources(merged, keys, dims, r, ["s_id"]).withColumn("_open", F.lit(True))
         # Settled rows keep their own cell and a flag that matches no source.
         open_ = F.col("_best").isNull()
@@ -60,7 +60,7 @@ def nearest_capped(queries: DataFrame, sources: DataFrame, keys, cap, radii=None
         probe = probe.withColumn("_open", open_)
         joined = probe.join(cand, [*keys, "_open", *[f"_c{d}" for d in dims]], "left")
         d2 = square_distance(dims)
-        near = d2 < r * r if strict and r == cap else d2 <= r * r
+        near = d2 < r * r if strict and step == len(radii) - 1 else d2 <= r * r
         found = F.when(near, F.struct(F.sqrt(d2).alias("d"), F.col("s_id").alias("id")))
         state = joined.groupBy(*at).agg(
             F.coalesce(F.max("_best"), F.min(found)).alias("_best"))
