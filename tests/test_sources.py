@@ -12,11 +12,11 @@ from scangrid.sources import scans, sinks, taxonomy
 @pytest.fixture()
 def dataset(tmp_path):
     base = tmp_path / "sequences" / "08"
-    (base / "velodyne").mkdir(parents=True)
+    (base / "sweeps").mkdir(parents=True)
     (base / "labels").mkdir()
     rng = np.random.default_rng(42)
     for frame in range(3):
-        rng.uniform(-5, 5, (100 + frame, 4)).astype("<f4").tofile(base / "velodyne" / f"{frame:06d}.bin")
+        rng.uniform(-5, 5, (100 + frame, 4)).astype("<f4").tofile(base / "sweeps" / f"{frame:06d}.bin")
         np.full(100 + frame, (7 << 16) | 48, "<u4").tofile(base / "labels" / f"{frame:06d}.label")
     (base / "poses.txt").write_text("".join(f"1 0 0 {i} 0 1 0 0 0 0 1 0\n" for i in range(3)))
     (base / "calib.txt").write_text("P0: 1 2 3\nTr: 0 -1 0 0.5 0 0 -1 0 1 0 0 0\n")
@@ -27,7 +27,7 @@ def test_sweeps_labels_and_poses(spark, dataset):
     pts = scans.scan_points(scans.binary_files(spark, str(dataset), "*.bin"))
     n = {r.frame_id: r["count"] for r in pts.groupBy("frame_id").count().collect()}
     assert n == {0: 100, 1: 101, 2: 102}
-    raw = np.fromfile(dataset / "sequences/08/velodyne/000001.bin", "<f4").reshape(-1, 4)
+    raw = np.fromfile(dataset / "sequences/08/sweeps/000001.bin", "<f4").reshape(-1, 4)
     first = pts.where("frame_id = 1 and point_id = 5").first()
     assert first.sequence == "08" and np.allclose([first.x, first.y, first.z, first.intensity], raw[5])
     lab = taxonomy.decode_labels(scans.scan_labels(scans.binary_files(spark, str(dataset), "*.label")))
