@@ -3,6 +3,7 @@ from importlib import import_module
 
 #: Query name -> module that holds it.
 QUERIES = {
+    "op2_suffix_dedup": "suffix_dedup",
     "op7_simhash": "simhash",
 }
 
