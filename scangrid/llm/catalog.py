@@ -4,6 +4,7 @@ from importlib import import_module
 #: Query name -> module that holds it.
 QUERIES = {
     "op2_suffix_dedup": "suffix_dedup",
+    "op3_packing": "packing",
     "op7_simhash": "simhash",
 }
 
