@@ -3,8 +3,10 @@ from importlib import import_module
 
 #: Query name -> module that holds it.
 QUERIES = {
+    "op1_neighbours": "neighbours",
     "op2_suffix_dedup": "suffix_dedup",
     "op3_packing": "packing",
+    "op5_vector_dedup": "vector_dedup",
     "op7_simhash": "simhash",
 }
 
