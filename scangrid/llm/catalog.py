@@ -8,6 +8,8 @@ QUERIES = {
     "op3_packing": "packing",
     "op5_vector_dedup": "vector_dedup",
     "op7_simhash": "simhash",
+    "op8_toxicity": "toxicity",
+    "op9_chat": "chat",
 }
 
 
