@@ -1,6 +1,7 @@
 """Helpers shared by the training-data operators."""
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -34,6 +35,9 @@ class Scratch:
         path = f"{self.root}/{self.count}"
         self.count += 1
         df.write.parquet(path)
+        # Shuffle files of the finished phase go once the driver has no reference to them.
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out
@@ -119,3 +123,26 @@ def usable_vectors(df: DataFrame, key="vec_id", vector="embedding") -> DataFrame
     lengths = fine.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n"))
     best = lengths.orderBy(F.desc("n"), "d").limit(1).collect()
     return fine.where(F.size("embedding") == (best[0]["d"] if best else 0))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight=None, ridge=1e-2, rounds=50):
+    """Function from feature rows to probabilities; Newton steps on standardised columns."""
+    weight = np.ones(len(y)) if weight is None else weight
+    mean, scale = x.mean(0), x.std(0) + 1e-9
+
+    def design(rows):
+        return np.concatenate([np.ones((len(rows), 1)), (rows - mean) / scale], axis=1)
+    z, w = design(x), np.zeros(x.shape[1] + 1)
+    penalty = ridge * np.eye(len(w))
+    for _ in range(rounds):
+        p = sigmoid(z @ w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + penalty,
+                               z.T @ (weight * (y - p)) - ridge * w)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return lambda rows: sigmoid(design(rows) @ w)
+
+
+def sigmoid(x):
+    return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

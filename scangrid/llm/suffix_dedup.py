@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, table
 
-WINDOW, QGRAM, WORD = 400, 128, 8
+WINDOW, QGRAM, WORD = 400, 64, 8
 SPREAD = WINDOW - QGRAM + 1          # windows an anchor can serve
 REACH = SPREAD - 1                   # bytes before an anchor that its windows reach
 #: Different surroundings of one q-gram that are refined inside one task.
@@ -332,12 +332,16 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, bucket_rows=BUCKET_ROWS) -
     keyed = _keyed(docs).select("row", "doc_id", "text")
     marks = scratch.write(keyed.where(F.octet_length("text") >= WINDOW)
                           .mapInArrow(_find_anchors, ANCHOR.format(id=kind)))
-    kinds = marks.groupBy("gram", "around").agg(
+    # A bucket of one suffix holds no repeat, and most buckets do.
+    repeated = marks.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    shared = scratch.write(marks.join(repeated, "gram").select(*marks.columns))
+    scratch.drop(marks)
+    kinds = shared.groupBy("gram", "around").agg(
         F.count(F.lit(1)).alias("copies"), F.min("row").alias("row"),
         F.min_by("doc_id", "row").alias("doc_id"), F.min_by("pos", "row").alias("pos"))
     kinds = scratch.write(kinds)
     crowd = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    settled = marks.join(kinds.where("copies > 1").select("gram", "around"), ["gram", "around"])
+    settled = shared.join(kinds.where("copies > 1").select("gram", "around"), ["gram", "around"])
     left = F.least(F.lit(REACH).cast("long"), "pos")
     settled = settled.where(left + F.col("right") >= WINDOW).select(
         "row", "doc_id", (F.col("pos") - left).alias("start"),
