@@ -6,10 +6,12 @@ QUERIES = {
     "op1_neighbours": "neighbours",
     "op2_suffix_dedup": "suffix_dedup",
     "op3_packing": "packing",
+    "op4_cotraining": "cotraining",
     "op5_vector_dedup": "vector_dedup",
     "op7_simhash": "simhash",
     "op8_toxicity": "toxicity",
     "op9_chat": "chat",
+    "op10_mixing": "mixing",
 }
 
 
