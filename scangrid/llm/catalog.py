@@ -8,6 +8,7 @@ QUERIES = {
     "op3_packing": "packing",
     "op4_cotraining": "cotraining",
     "op5_vector_dedup": "vector_dedup",
+    "op6_licences": "licences",
     "op7_simhash": "simhash",
     "op8_toxicity": "toxicity",
     "op9_chat": "chat",

@@ -31,10 +31,10 @@ class Scratch:
         self.count = 0
         self.paths = {}
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, *by: str) -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         # Shuffle files of the finished phase go once the driver has no reference to them.
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()

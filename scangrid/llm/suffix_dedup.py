@@ -147,7 +147,7 @@ def _find_anchors(batches):
 def _surroundings(batches):
     """Bytes that the windows of wanted anchors can reach, the anchor at a fixed column."""
     for batch in batches:
-        out = {k: [] for k in ("gram", "copies", "row", "doc_id", "pos", "left", "right", "bytes")}
+        out = {k: [] for k in ("gram", "copies", "row", "doc_id", "pos", "left", "right", "bytes", "large")}
         for row, doc_id, text, wanted in zip(*(c.to_pylist() for c in batch.columns)):
             data = (text or "").encode()
             for w in wanted:
@@ -155,10 +155,10 @@ def _surroundings(batches):
                 left, right = min(REACH, pos), min(WINDOW, len(data) - pos)
                 for k, v in (("gram", w["gram"]), ("copies", w["copies"]), ("row", row),
                              ("doc_id", doc_id), ("pos", pos), ("left", left), ("right", right),
-                             ("bytes", data[pos - left:pos + right])):
+                             ("bytes", data[pos - left:pos + right]), ("large", w["large"])):
                     out[k].append(v)
         types = [pa.int64(), pa.int64(), pa.int64(), batch.schema.field(1).type, *[pa.int64()] * 3,
-                 pa.binary()]
+                 pa.binary(), pa.bool_()]
         for at in range(0, max(1, len(out["row"])), 4096):
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v[at:at + 4096], t) for v, t in zip(out.values(), types)],
@@ -346,26 +346,24 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, bucket_rows=BUCKET_ROWS) -
     settled = settled.where(left + F.col("right") >= WINDOW).select(
         "row", "doc_id", (F.col("pos") - left).alias("start"),
         (F.col("pos") + F.col("right")).alias("stop"))
-    open_ = kinds.join(crowd, "gram")
-
-    def members(part: DataFrame) -> DataFrame:
-        wanted = part.groupBy("row", "doc_id").agg(
-            F.collect_list(F.struct("gram", "copies", "pos")).alias("wanted"))
-        same = [F.col("d.row") == F.col("w.row"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))]
-        texts = keyed.alias("d").join(wanted.alias("w"), same).select(
-            "d.row", "d.doc_id", "d.text", "w.wanted")
-        return texts.mapInArrow(_surroundings, f"gram long, copies long, row long, doc_id {kind}, "
-                                               "pos long, left long, right long, bytes binary")
-    small = (members(open_.where(F.col("kinds") <= bucket_rows))
-             .repartition("gram").sortWithinPartitions("gram")
+    wanted = kinds.join(crowd, "gram").groupBy("row", "doc_id").agg(F.collect_list(
+        F.struct("gram", "copies", "pos", (F.col("kinds") > bucket_rows).alias("large"))).alias("wanted"))
+    same = [F.col("d.row") == F.col("w.row"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))]
+    texts = keyed.alias("d").join(wanted.alias("w"), same).select("d.row", "d.doc_id", "d.text", "w.wanted")
+    members = scratch.write(texts.mapInArrow(
+        _surroundings, f"gram long, copies long, row long, doc_id {kind}, pos long, left long, "
+                       "right long, bytes binary, large boolean"), "large")
+    small = (members.where("not large").drop("large").repartition("gram").sortWithinPartitions("gram")
              .mapInArrow(_refine_small, SPAN.format(id=kind)))
     spans = settled.unionByName(small)
-    if not crowd.where(F.col("kinds") > bucket_rows).isEmpty():
-        large = members(open_.where(F.col("kinds") > bucket_rows)).dropDuplicates(
-            ["gram", "row", "doc_id", "pos"])
+    large = members.where("large").drop("large")
+    if not large.isEmpty():
+        large = large.dropDuplicates(["gram", "row", "doc_id", "pos"])
         spans = spans.unionByName(_refine_large(scratch.write(large), kind, scratch))
-    return scratch.write(spans.groupBy("row", "doc_id").agg(
+    found = scratch.write(spans.groupBy("row", "doc_id").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")))
+    scratch.drop(shared, kinds, members)
+    return found
 
 
 def _merged(spans) -> list[tuple[int, int]]:
