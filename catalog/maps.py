@@ -215,13 +215,11 @@ def speed_sweep_storage(spark, sf):
 @register("export_cells", grid_sql("""
  select sequence, frame_id, array_agg([round(x,4), round(y,4), size, cast(dominant_class as double),
    round(round(mean_z,12),4), round(round(class_confidence,12),4)] order by size_mm, lx, ly) as cells
- from leaf where policy = 'adaptive' and sqrt((x+size/2)*(x+size/2)+(y+size/2)*(y+size/2)) < 10 group by 1, 2""",
+ from leaf where policy = 'adaptive' group by 1, 2""",
     policies=["adaptive"]))
 def export_cells(spark, sf):
-    """Near-field leaves of each frame as one array of rounded rows."""
+    """Leaves of each frame as one array of rounded rows."""
     lv = grid.leaves(cells(spark, sf, ("adaptive",)))
-    half = F.col("size") / 2
-    lv = lv.where(G.radius(F.col("x") + half, F.col("y") + half) < 10)
     row = F.struct("size_mm", "lx", "ly", F.array(
         F.round("x", 4), F.round("y", 4), F.col("size"), F.col("dominant_class").cast("double"),
         F.round(F.round("mean_z", 12), 4), F.round(F.round("class_confidence", 12), 4)).alias("row"))

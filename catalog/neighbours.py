@@ -1,5 +1,5 @@
 """Spatial joins, clustering, boxes, tracks and ribbons."""
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from scangrid.functions import geom as G
 from scangrid.operators import cluster, grid, motion, spatial, tracks, voxel
@@ -89,13 +89,13 @@ def sidewalk_near_road(spark, sf):
 
 
 @register("neighbour_counts", V.with_sql(V.POINTS_SQL, f"""
- src as materialized (select sequence, frame_id, x, y, z, count(*) as w, {hash_sql('p', 0.5)} from points where pred = 3 group by all),
+ src as materialized (select sequence, frame_id, pred, x, y, z, count(*) as w, {hash_sql('p', 0.5)} from points group by all),
  q as materialized (select *, cx+ox as hx, cy+oy as hy, cz+oz as hz from src, {NEAR27})""", body="""
- select q.sequence, q.frame_id, q.x, q.y, q.z, cast(sum(s.w) as bigint) as neighbours from q join src s on q.sequence=s.sequence and q.frame_id=s.frame_id
+ select q.sequence, q.frame_id, q.pred, q.x, q.y, q.z, cast(sum(s.w) as bigint) as neighbours from q join src s on q.sequence=s.sequence and q.frame_id=s.frame_id and q.pred=s.pred
   and q.hx=s.cx and q.hy=s.cy and q.hz=s.cz
- where (q.x-s.x)*(q.x-s.x)+(q.y-s.y)*(q.y-s.y)+(q.z-s.z)*(q.z-s.z) <= 0.25 group by 1, 2, 3, 4, 5"""))
+ where (q.x-s.x)*(q.x-s.x)+(q.y-s.y)*(q.y-s.y)+(q.z-s.z)*(q.z-s.z) <= 0.25 group by 1, 2, 3, 4, 5, 6"""))
 def neighbour_counts(spark, sf):
-    return spatial.neighbour_counts(V.points(spark, sf).where("pred = 3"), K, 0.5)
+    return spatial.neighbour_counts(V.points(spark, sf), [*K, "pred"], 0.5)
 
 
 REPS = f"""reps_all as materialized (select sequence, frame_id, pred, {hash_sql('p', 0.2, prefix='v')},
@@ -104,9 +104,9 @@ REPS = f"""reps_all as materialized (select sequence, frame_id, pred, {hash_sql(
 
 
 @register("first_of_voxel", V.with_sql(V.POINTS_SQL, REPS, body="""
- select sequence, frame_id, vx, vy, vz, point_id, x, y, z from reps_all where pred = 2"""))
+ select sequence, frame_id, pred, vx, vy, vz, point_id, x, y, z from reps_all"""))
 def first_of_voxel(spark, sf):
-    return cluster.first_of_voxel(V.points(spark, sf).where("pred = 2"), K, 0.2)
+    return cluster.first_of_voxel(V.points(spark, sf).where("pred in (2, 3)"), [*K, "pred"], 0.2)
 
 
 def dbscan_ctes(tag, reps, eps, minimum):
@@ -139,16 +139,33 @@ def dbscan_static(spark, sf):
     return cluster.dbscan(reps, K, 1.0, 5).select(*K, "point_id", "cluster")
 
 
+@register("dbscan_restarting_ids", V.with_sql(
+    V.POINTS_SQL, REPS, cls_reps(2), cls_reps(3), *dbscan_ctes("2", "reps2", 1.0, 5), *dbscan_ctes("3", "reps3", 0.5, 3),
+    """num as materialized (select point_id, row_number() over (partition by sequence, frame_id order by point_id) as own from points)""",
+    """lab as (select * from lab2 union all select * from lab3)""",
+    body="""select l.sequence, l.frame_id, l.pred, n.own as point_id, c.own as cluster
+ from lab l join num n on n.point_id = l.point_id left join num c on c.point_id = l.cluster""", recursive=True))
+def dbscan_restarting_ids(spark, sf):
+    """Both obstacle classes at once, with point ids that start anew in every frame."""
+    own = F.row_number().over(Window.partitionBy(*K).orderBy("point_id")).cast("long")
+    p = V.points(spark, sf).withColumn("point_id", own).where("pred in (2, 3)")
+    by = [*K, "pred"]
+    reps = cluster.first_of_voxel(p, by, 0.2)
+    eps = F.when(F.col("pred") == 2, 1.0).otherwise(0.5)
+    least = F.when(F.col("pred") == 2, 5).otherwise(3)
+    return cluster.dbscan(reps, by, eps, least).select(*by, "point_id", "cluster")
+
+
 @register("connected_components", V.with_sql(
-    """edges as (select distinct l_partkey as a, 1000000000 + l_suppkey as b from lineitem where l_shipdate < timestamp '1995-06-01'
+    """edges as (select distinct l_partkey as a, 1000000000 + l_suppkey as b from lineitem
     union select distinct o_custkey % 97, 1000000000 + o_orderkey % 89 from orders)""",
     """node as (select a as id from edges union select b from edges)""",
     """links as materialized (select a, b from edges union select b, a from edges)""",
     """walk as (select id, id as root from node union select e.b, w.root from walk w join links e on e.a = w.id where w.root < e.b)""",
     body="select id, min(root) as label from walk group by 1", recursive=True))
 def connected_components(spark, sf):
-    """Part-supplier links of one period as a graph, plus a dense one from the orders."""
-    li = V.table(spark, sf, "lineitem").where("l_shipdate < timestamp '1995-06-01'").select(
+    """Part-supplier links as a graph, plus a dense one from the orders."""
+    li = V.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1000000000).alias("b"))
     o = V.table(spark, sf, "orders").select(
         (F.col("o_custkey") % 97).alias("a"), (F.col("o_orderkey") % 89 + 1000000000).alias("b"))

@@ -118,10 +118,11 @@ def occupancy_grid(spark, sf):
 
 
 @register("occupancy_counts", V.with_sql(V.POINTS_SQL, *OCC_CTES, body="""
- select sequence, frame_id, count(*) filter (where value = 0) as free, count(*) filter (where value = 100) as occupied,
-  10000 - count(*) as unknown from occ group by 1, 2"""))
+ select f.sequence, f.frame_id, count(*) filter (where value = 0) as free, count(*) filter (where value = 100) as occupied,
+  10000 - count(value) as unknown from (select distinct sequence, frame_id from points) f
+  left join occ o on o.sequence = f.sequence and o.frame_id = f.frame_id group by 1, 2"""))
 def occupancy_counts(spark, sf):
-    return occupancy.occupancy_counts(occupancy.occupancy_cells(V.points(spark, sf)))
+    return occupancy.occupancy_counts(occupancy.occupancy_cells(V.points(spark, sf)), V.points(spark, sf))
 
 
 @register("corridor_status", V.with_sql(V.POINTS_SQL, *OCC_CTES, body="""
@@ -140,7 +141,7 @@ def corridor_status(spark, sf):
 
 @register("occupancy_map_array", V.with_sql(V.POINTS_SQL, *OCC_CTES, body="""
  select f.sequence, f.frame_id, array_agg(coalesce(value, -1) order by j, i) as data
- from (select distinct sequence, frame_id from occ) f cross join range(100) a(i) cross join range(100) b(j)
+ from (select distinct sequence, frame_id from points) f cross join range(100) a(i) cross join range(100) b(j)
  left join occ o on o.sequence=f.sequence and o.frame_id=f.frame_id and o.ix=i and o.iy=j group by 1, 2"""))
 def occupancy_map_array(spark, sf):
-    return occupancy.flatten_map(occupancy.occupancy_cells(V.points(spark, sf)))
+    return occupancy.flatten_map(occupancy.occupancy_cells(V.points(spark, sf)), V.points(spark, sf))

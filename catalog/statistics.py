@@ -63,7 +63,20 @@ PAIRS_SQL = """pairs as (select sequence, stage, avg(latency_ms) filter (where p
   avg(latency_ms) filter (where policy='adaptive') as b from frame_stats group by 1, 2),
  deltas as materialized (select sequence*1000+stage as frame, b-a as delta, row_number() over (order by sequence*1000+stage) - 1 as pos, count(*) over () as n
   from pairs where a is not null and b is not null)"""
-DRAW = "(({u}*{u}+{u}*12345+97) % 2147483647 % n)"
+
+
+def draw_sql(source, item, out, keep):
+    """Position per draw and item in [0, n): the mixing of ``resample.with_draw`` as nested SQL."""
+    p = 2147483647
+
+    def fifth(x):
+        return f"(({x}*{x}%{p})*({x}*{x}%{p})%{p}*{x}%{p})"
+    first = ", ".join(f"(draw*{c}+{c + k})%{p} as d{k}" for k, c in enumerate((104729, 7919, 15485863, 32452843)))
+    cols = ", ".join(keep)
+    return f"""select {cols}, ({fifth('u')}*{p} + {fifth('v')}) % n as {out} from (
+   select {cols}, n, (i*d0+d1)%{p} as u, (i*d2+d3)%{p} as v from (
+    select {cols}, n, {', '.join(f"{fifth(c)} as {c}" for c in ('i', 'd0', 'd1', 'd2', 'd3'))} from (
+     select {cols}, n, ({item}%{p} + {item}//{p}*69621 + 12345)%{p} as i, {first} from ({source}) q0) q1) q2) q3"""
 
 
 def _deltas(spark, sf):
@@ -80,10 +93,13 @@ def paired_delta(spark, sf):
     return _deltas(spark, sf).select("frame", r("delta"))
 
 
+BLOCK_PLAN = """select cast(d as bigint) as draw, cast(b as bigint) as block, last, n, n as size from (
+  select max(n) as n, cast(ceil(max(n)/16.0) as bigint)-1 as last from deltas) s, range(1000) x(d), range(100000) y(b) where b <= last"""
+
+
 @register("block_bootstrap_ci", V.with_sql(V.STATS_SQL, PAIRS_SQL, f"""
- plan as materialized (select draw, block, last, n, {DRAW.format(u='((draw*7919+block*104729) % 1000003)')} as start from (
-  select cast(d as bigint) as draw, cast(b as bigint) as block, last, n from (select max(n) as n, cast(ceil(max(n)/16.0) as bigint)-1 as last from deltas) s,
-   range(1000) x(d), range(100000) y(b) where b <= last) q),
+ plan as materialized (select draw, block, last, size as n, start from (
+  {draw_sql(BLOCK_PLAN, 'block', 'start', ['draw', 'block', 'last', 'size'])}) p),
  picks as (select draw, (start+o) % n as pos from plan, range(16) t(o) where block < last or o < n-16*last),
  means as (select draw, sum(delta)/max(n) as m from picks join deltas using (pos) group by 1)""", body="""
  select 'all' as scope, (select round(avg(delta), 9) from deltas) as delta, (select count(*) from deltas) as n,
@@ -94,7 +110,7 @@ def block_bootstrap_ci(spark, sf):
 
 
 @register("frame_bootstrap_ci", V.with_sql(V.STATS_SQL, PAIRS_SQL, f"""
- picks as (select draw, {DRAW.format(u='((draw*7919+item*104729) % 1000003)')} as pos from (select cast(d as bigint) as draw, pos as item, n from deltas, range(2000) x(d)) q),
+ picks as ({draw_sql('select cast(d as bigint) as draw, pos as item, n from deltas, range(2000) x(d)', 'item', 'pos', ['draw'])}),
  means as (select draw, sum(delta)/max(n) as m from picks join deltas using (pos) group by 1)""", body="""
  select 'all' as scope, (select round(avg(delta), 9) from deltas) as delta, (select count(*) from deltas) as n,
   round(quantile_cont(m, 0.025), 9) as low, round(quantile_cont(m, 0.975), 9) as high from means"""))

@@ -154,7 +154,8 @@ def split_overlap(spark, sf):
 
 FILES_SQL = """files as (select user_id % 11 as upload, (case when event_type = 'view' then 'Scan' else 'scan' end) || cast((event_id*37) % 10007 as varchar)
   || '_' || cast(event_id as varchar) || '.bin' as name from events),
- keyed as (select *, regexp_replace(regexp_replace(lower(name), '([0-9]+)', '00000000000000000000\\1', 'g'), '[0-9]*([0-9]{20})', '\\1', 'g') as k from files)"""
+ keyed as (select *, array_to_string(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x:
+  case when regexp_matches(x, '^[0-9]') then lpad(cast(length(regexp_replace(x, '^0+([0-9])', '\\1')) as varchar), 4, '0') || regexp_replace(x, '^0+([0-9])', '\\1') else x end), '') as k from files)"""
 
 
 def _files(spark, sf):
@@ -172,7 +173,7 @@ def natural_key(spark, sf):
 
 @register("number_frames", V.with_sql(FILES_SQL, body="""
  select upload, name, frame_id, round(frame_id*0.1::double, 6) as timestamp from (
-  select upload, name, row_number() over (partition by upload order by k, name) - 1 as frame_id from keyed) q where frame_id < 300"""))
+  select upload, name, row_number() over (partition by upload order by k, name) - 1 as frame_id from keyed) q"""))
 def number_frames(spark, sf):
     return selection.number_frames(_files(spark, sf), ["upload"]).select(
         "upload", "name", "frame_id", r("timestamp", 6))

@@ -40,6 +40,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def dbscan(points: DataFrame, keys, eps, min_samples) -> DataFrame:
     """Adds ``cluster``: the smallest core point id of the cluster, NULL for noise.
 
+    Clusters never cross groups of ``keys``; point ids need to be unique within one only.
+
     Positions are merged first. A cell of diagonal at most eps holding enough points
     is core as a whole, and all core points of one cell are one graph node, so dense
     cells are settled by counting. ``eps`` and ``min_samples`` may be Columns over the
@@ -68,15 +70,19 @@ def dbscan(points: DataFrame, keys, eps, min_samples) -> DataFrame:
         "core", F.col("crowd") + F.coalesce("others", F.lit(0)) >= min_samples).drop("others")
     all_points = cut_lineage(dense.withColumn("core", F.lit(True)).unionByName(judged))
     core = all_points.where("core")
-    node = core.groupBy(*home).agg(F.min("pid").alias("node"))
+    # Point ids may restart in every group, so nodes get numbers of their own.
+    node = cut_lineage(core.groupBy(*home).agg(F.min("pid").alias("low")).withColumn(
+        "node", F.monotonically_increasing_id()))
     core = cut_lineage(core.join(node, home).select(*at, "pid", "node"))
     c2 = _sources(core, keys, XYZ, eps, [F.col("node").alias("s_node")])
     edges = (around(core, XYZ, eps).join(c2, cell)
              .where((F.col("node") < F.col("s_node")) & (square_distance() <= eps * eps))
              .select(F.col("node").alias("a"), F.col("s_node").alias("b")).distinct())
-    comp = connected_components(core.select(F.col("node").alias("id")), edges)
-    core = core.join(comp.withColumnRenamed("id", "node"), "node").select(
-        *at, "pid", F.col("label").alias("cluster"))
+    comp = connected_components(node.select(F.col("node").alias("id")), edges)
+    named = node.select("node", "low").join(comp.withColumnRenamed("id", "node"), "node")
+    least = named.groupBy("label").agg(F.min("low").alias("cluster"))
+    core = core.join(named.join(least, "label").select("node", "cluster"), "node").select(
+        *at, "pid", "cluster")
     border = nearest_capped(all_points.where("not core").select(*at),
                             core.select(*at, F.col("pid").alias("point_id")), keys, eps,
                             strict=True)

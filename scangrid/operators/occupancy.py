@@ -58,12 +58,18 @@ def sector_limits(marked: DataFrame, keys) -> DataFrame:
     nearest = m.groupBy(*keys, "sector").agg(
         F.min(F.when(F.col("blocked"), F.col("r"))).cast("float").alias("nearest"))
     limit = F.coalesce(F.col("nearest") - F.lit(0.1).cast("float"), F.lit(float("inf")))
-    # Free distances need only the farthest return per centimetre-wide ring, which
-    # keeps the join from carrying every return of a crowded sector.
-    rings = m.where(is_ground("pred")).groupBy(*keys, "sector", F.floor(F.col("r") * 100)
-                                               .alias("ring"), "r").agg(F.lit(1).alias("_one"))
-    far = (rings.join(nearest, [*keys, "sector"]).where(F.col("r") < limit)
-           .groupBy(*keys, "sector").agg(F.max("r").cast("float").alias("farthest")))
+    # Only the ring that holds the limit needs its single returns; of the rings inside
+    # it the farthest return is enough, and those beyond do not count.
+    ground = m.where(is_ground("pred")).withColumn("ring", F.floor(F.col("r") * 10))
+    rings = ground.groupBy(*keys, "sector", "ring").agg(F.max("r").alias("r"))
+    edge = F.floor(limit.cast("double") * 10)
+    bounded = nearest.withColumn("_edge", edge)
+    inside = (rings.join(nearest, [*keys, "sector"]).where(F.col("r") < limit)
+              .select(*keys, "sector", "r"))
+    at_edge = (ground.join(bounded.withColumnRenamed("_edge", "ring"), [*keys, "sector", "ring"])
+               .where(F.col("r") < limit).select(*keys, "sector", "r"))
+    far = inside.unionByName(at_edge).groupBy(*keys, "sector").agg(
+        F.max("r").cast("float").alias("farthest"))
     return nearest.join(far, [*keys, "sector"], "left")
 
 
@@ -101,12 +107,17 @@ def occupancy_cells(points: DataFrame, keys=("sequence", "frame_id"), extent=20.
     return rays.unionByName(hits).groupBy(*keys, "ix", "iy").agg(F.max("value").alias("value"))
 
 
-def occupancy_counts(cells: DataFrame, keys=("sequence", "frame_id"), extent=20.0, res=0.2):
-    width = int(round(extent / res))
-    return cells.groupBy(*keys).agg(
+def occupancy_counts(cells: DataFrame, frames: DataFrame, keys=("sequence", "frame_id"),
+                     extent=20.0, res=0.2):
+    """Cells per state of every frame in ``frames``, also of those without a known cell."""
+    keys, width = list(keys), int(round(extent / res))
+    known = cells.groupBy(*keys).agg(
         F.count_if(F.col("value") == FREE).alias("free"),
-        F.count_if(F.col("value") == OCCUPIED).alias("occupied"),
-        (F.lit(width * width) - F.count(F.lit(1))).alias("unknown"))
+        F.count_if(F.col("value") == OCCUPIED).alias("occupied"))
+    none = F.lit(0).cast("long")
+    out = frames.select(*keys).distinct().join(known, keys, "left").select(
+        *keys, F.coalesce("free", none).alias("free"), F.coalesce("occupied", none).alias("occupied"))
+    return out.withColumn("unknown", F.lit(width * width) - F.col("free") - F.col("occupied"))
 
 
 def corridor_status(points: DataFrame, cells: DataFrame, keys=("sequence", "frame_id"),
@@ -130,14 +141,21 @@ def corridor_status(points: DataFrame, cells: DataFrame, keys=("sequence", "fram
             .select(*keys, status.alias("operator_status"), "nearest_obstruction_m"))
 
 
-def flatten_map(cells: DataFrame, keys=("sequence", "frame_id"), extent=20.0, res=0.2):
-    """Row-major array of the whole map, -1 where unknown (a fixed W x W array per frame)."""
-    width = int(round(extent / res))
-    pos = (F.col("iy") * width + F.col("ix")).cast("int").alias("pos")
-    blank = cells.select(*keys).distinct().select(
-        *keys, F.explode(F.sequence(F.lit(0), F.lit(width * width - 1))).alias("pos"),
-        F.lit(UNKNOWN).alias("value"))
-    full = cells.select(*keys, pos, "value").unionByName(blank).groupBy(*keys, "pos").agg(
-        F.max("value").alias("value"))
-    return full.groupBy(*keys).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("data"))
+def flatten_map(cells: DataFrame, frames: DataFrame, keys=("sequence", "frame_id"), extent=20.0,
+                res=0.2):
+    """Row-major array of the whole map of every frame in ``frames``, -1 where unknown.
+
+    Map rows with a known cell are filled first (at most W cells each); the others come
+    from one constant, so no blank cells are shuffled.
+    """
+    keys, width = list(keys), int(round(extent / res))
+    rows = cells.groupBy(*keys, "iy").agg(F.map_from_entries(
+        F.collect_list(F.struct(F.col("ix").cast("int"), "value"))).alias("_row"))
+    rows = rows.select(*keys, F.col("iy").cast("int").alias("iy"), F.transform(
+        F.sequence(F.lit(0), F.lit(width - 1)),
+        lambda i: F.coalesce(F.try_element_at("_row", i), F.lit(UNKNOWN))).alias("_row"))
+    maps = rows.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("iy", "_row"))).alias("_map"))
+    blank = F.array_repeat(F.lit(UNKNOWN), width)
+    data = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(width - 1)),
+                                 lambda j: F.coalesce(F.try_element_at("_map", j), blank)))
+    return frames.select(*keys).distinct().join(maps, keys, "left").select(*keys, data.alias("data"))

@@ -6,10 +6,31 @@ from .scale import exact_percentiles, with_rank
 BLOCK = 16
 
 
-def draw_index(draw, item, n) -> Column:
-    """Repeatable pseudo-random position in [0, n) for one draw and item."""
-    u = (F.col(draw).cast("long") * 7919 + F.col(item).cast("long") * 104729) % 1000003
-    return (u * u + u * 12345 + 97) % 2147483647 % n
+PRIME = 2147483647
+
+
+def _fifth(name) -> Column:
+    """Fifth power modulo 2^31 - 1, a one-to-one map that no straight line survives."""
+    x = F.col(name)
+    square = x * x % PRIME
+    return square * square % PRIME * x % PRIME
+
+
+def with_draw(df: DataFrame, draw, item, n: Column, out) -> DataFrame:
+    """Adds ``out``: a repeatable pseudo-random position in [0, n) per draw and item.
+
+    Every draw has straight-line coefficients of its own for the mixed items, so draws
+    are not shifts of each other; two 31-bit values make positions for any n below 2^61.
+    """
+    d, i = F.col(draw).cast("long"), F.col(item).cast("long")
+    mixed = df.withColumn("_i", (i % PRIME + F.floor(i / PRIME) * 69621 + 12345) % PRIME)
+    for k, c in enumerate((104729, 7919, 15485863, 32452843)):
+        mixed = mixed.withColumn(f"_d{k}", (d * c + c + k) % PRIME)
+    mixed = mixed.select(*df.columns, *[_fifth(c).alias(c) for c in ("_i", "_d0", "_d1", "_d2", "_d3")])
+    mixed = mixed.withColumn("_u", (F.col("_i") * F.col("_d0") + F.col("_d1")) % PRIME).withColumn(
+        "_v", (F.col("_i") * F.col("_d2") + F.col("_d3")) % PRIME)
+    mixed = mixed.withColumn("_u", _fifth("_u")).withColumn("_v", _fifth("_v"))
+    return mixed.select(*df.columns, ((F.col("_u") * PRIME + F.col("_v")) % n).alias(out))
 
 
 def _positions(deltas, keys, order, value, width):
@@ -46,8 +67,8 @@ def block_bootstrap_ci(deltas: DataFrame, keys, order, value, draws=1000, width=
     length = F.least(F.lit(BLOCK), F.col("_n"))
     plan = (size.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
             .withColumn("_last", F.ceil(F.col("_n") / length) - 1)
-            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))))
-            .withColumn("start", draw_index("draw", "block", F.col("_n"))))
+            .withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last")))))
+    plan = with_draw(plan, "draw", "block", F.col("_n"), "start")
     means = (plan.select(*keys, "draw", "block", "_last", "start").join(sums, [*keys, "start"])
              .groupBy(*keys, "draw").agg(
                  (F.sum(F.when(F.col("block") < F.col("_last"), F.col("_full"))
@@ -60,8 +81,8 @@ def frame_bootstrap_ci(deltas: DataFrame, keys, order, value, draws=2000, width=
     keys = list(keys)
     rows = _positions(deltas, keys, order, value, width)
     picks = (rows.select(*keys, F.col("pos").alias("item"), F.col("pos_total").alias("_n"))
-             .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-             .withColumn("pos", draw_index("draw", "item", F.col("_n"))))
+             .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))))
+    picks = with_draw(picks, "draw", "item", F.col("_n"), "pos")
     # Picks of the same frame in one draw are counted before they meet its value.
     counted = picks.groupBy(*keys, "draw", "pos").agg(F.count(F.lit(1)).alias("_c"))
     means = counted.join(rows.select(*keys, "pos", value, "pos_total"), [*keys, "pos"]).groupBy(

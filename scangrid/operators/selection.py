@@ -4,22 +4,35 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.geom import as_col, radius
 from .scale import evenly_spaced, first_n, with_rank
 
-DIGITS = 20
+RANGES, SAMPLE = 64, 8192
 
 
 def natural_key(name) -> Column:
-    """Sort key where digit runs compare as numbers: each run is padded to 20 digits."""
-    padded = F.regexp_replace(F.lower(as_col(name)), "([0-9]+)", "0" * DIGITS + "$1")
-    return F.regexp_replace(padded, f"[0-9]*([0-9]{{{DIGITS}}})", "$1")
+    """Sort key where digit runs compare as numbers: each run without leading zeros, after its length."""
+    def part(run):
+        digits = F.regexp_replace(run, "^0+(?=[0-9])", "")
+        return F.when(run.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 4, "0"), digits)
+                      ).otherwise(run)
+    runs = F.regexp_extract_all(F.lower(as_col(name)), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
+    return F.array_join(F.transform(runs, part), "")
 
 
-def number_frames(files: DataFrame, keys, name="name", limit=300, prefix=21) -> DataFrame:
-    """Frame number and time of the first ``limit`` files per key in natural order.
+def number_frames(files: DataFrame, keys, name="name", limit=None) -> DataFrame:
+    """Frame number and time of the files per key in natural order, or of the first ``limit``.
 
-    A prefix of the sort key splits long lists; a prefix never breaks the order.
+    A long list is split at keys of a bounded sample (``SAMPLE`` names by smallest hash);
+    which keys those are decides how evenly the work is dealt, not the result.
     """
     keyed = files.withColumn("_key", natural_key(name))
-    out = first_n(keyed, keys, ["_key", name], F.substring("_key", 1, prefix), limit, "frame_id")
+    picked = sorted(r[0] for r in keyed.select("_key").where("_key is not null")
+                    .orderBy(F.xxhash64("_key")).limit(SAMPLE).collect())
+    edges = sorted(set(picked[::max(1, len(picked) // RANGES)]))
+    place = F.lit(0) if not edges else F.size(F.filter(
+        F.array(*map(F.lit, edges)), lambda e: e <= F.col("_key")))
+    if limit is None:
+        out = with_rank(keyed, keys, ["_key", name], place, "frame_id").drop("frame_id_total")
+    else:
+        out = first_n(keyed, keys, ["_key", name], place, limit, "frame_id")
     return out.withColumn("timestamp", F.col("frame_id") * 0.1).drop("_key")
 
 

@@ -151,16 +151,18 @@ def archive_files(files: DataFrame) -> DataFrame:
         run, "archive string, name string, content binary")
 
 
-def scan_archive(spark: SparkSession, path: str, limit=300):
+def scan_archive(spark: SparkSession, path: str, limit=None):
     """(points, quarantine): points of safe archives in natural frame order; findings of others."""
     from ..operators.checks import archive_findings
     from ..operators.selection import number_frames
     files = binary_files(spark, path, "*.zip")
     quarantine = archive_findings(archive_members(files))
     safe = files.join(quarantine.select("path").distinct(), "path", "left_anti")
-    numbered = number_frames(archive_files(safe), ["archive"], limit=limit)
-    frames = numbered.select(F.col("name").alias("path"), F.col("archive").alias("sequence"),
-                             "frame_id", "content")
+    # Names are numbered without their contents.
+    contents = archive_files(safe)
+    numbered = number_frames(contents.select("archive", "name"), ["archive"], limit=limit)
+    frames = contents.join(numbered, ["archive", "name"]).select(
+        F.col("name").alias("path"), F.col("archive").alias("sequence"), "frame_id", "content")
     return scan_points(frames), quarantine
 
 

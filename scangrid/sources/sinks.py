@@ -6,12 +6,15 @@ CURVE_SCHEMA = ("epoch int, train_loss double, val_miou double, elapsed_seconds
 
 
 def write_frames(docs: DataFrame, path: str, fmt="json") -> None:
-    """Frame documents, one folder per job; files appear only when a task commits."""
-    docs.write.mode("append").partitionBy("job_id").format(fmt).save(path)
+    """Frame documents, one folder per job; a rerun of a job replaces its documents."""
+    (docs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("job_id").format(fmt).save(path))
 
 
 def write_predictions(preds: DataFrame, path: str) -> None:
-    preds.write.mode("append").partitionBy("model_sig", "sequence").parquet(path)
+    """Predictions by model and sequence; writing a sequence again replaces it."""
+    (preds.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("model_sig", "sequence").parquet(path))
 
 
 def read_predictions(spark: SparkSession, path: str, signature: str) -> DataFrame:
