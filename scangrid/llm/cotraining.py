@@ -22,6 +22,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from .common import fit_logistic, sigmoid, table
 from .features import Extractor, Sparse, fit_linear, sparse_arrays, sparse_rows
@@ -135,7 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame):
     # Bounded by LABELLED + POOL rows.
     chosen = F.broadcast(mine.unionByName(pool))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = (docs.join(chosen, "doc_id").select("doc_id", "label", "text", "source", "lang", "n_chars")
+    need = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    got = (need.join(chosen, "doc_id").select("doc_id", "label", "text", "source", "lang", "n_chars")
            .mapInArrow(_extract, f"doc_id {kind}, label double, index array<int>, value array<float>, "
                                  "meta array<double>")
            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * (LABELLED + POOL)).toArrow())
@@ -146,45 +148,41 @@ def fit(docs: DataFrame, labels: DataFrame):
     return CoTrained(sparse_rows(got["index"], got["value"]), np.array(got["meta"].to_pylist()), label)
 
 
-SCORES = "text_score double, meta_score double, score double"
-
-
-def with_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with ``text_score, meta_score, score``."""
+def scored(docs: DataFrame, labels: DataFrame, carry: str) -> DataFrame:
+    """``carry, text_score, meta_score, score``; ``carry``: doc_id, or doc for the whole row as a struct."""
     model = fit(docs, labels)
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if carry == "doc" else F.col(carry)
+    source = docs.select(kept, "text", "source", "lang", "n_chars")
     if isinstance(model, float):
-        return docs.withColumns({c: F.lit(model) for c in ("text_score", "meta_score", "score")})
-    names = docs.columns
-    need = [names.index(c) for c in ("text", "source", "lang", "n_chars")]
+        return source.select(carry, *[F.lit(model).alias(c) for c in ("text_score", "meta_score", "score")])
 
     def run(batches):
         get = Extractor()
         for whole in batches:
             for at in range(0, max(1, len(whole)), 512):
                 b = whole.slice(at, 512)
-                text, source, lang, size = (b.column(i).to_pylist() for i in need)
+                text, source, lang, size = (b.column(i).to_pylist() for i in range(1, 5))
                 if text:
                     meta = np.array([metadata(s, la, n, t) for s, la, n, t in zip(source, lang, size, text)])
                     cols = model.scores([get(t) for t in text], meta)
                 else:
                     cols = [np.empty(0)] * 3
                 yield pa.RecordBatch.from_arrays(
-                    [*b.columns, *map(pa.array, cols)],
-                    names=[*names, "text_score", "meta_score", "score"])
-    from pyspark.sql.types import DoubleType, StructType
-    schema = StructType(list(docs.schema.fields))
+                    [b.column(0), *map(pa.array, cols)],
+                    names=[carry, "text_score", "meta_score", "score"])
+    schema = StructType([source.schema[0]])
     for c in ("text_score", "meta_score", "score"):
         schema = schema.add(c, DoubleType())
-    return docs.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold=THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that the combined score does not reject."""
-    return with_scores(docs, labels).where(F.col("score") >= threshold).select(*docs.columns)
+    return scored(docs, labels, "doc").where(F.col("score") >= threshold).select("doc.*")
 
 
 def op4_cotraining(spark, sf_dir) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    out = with_scores(docs, labels)
+    out = scored(docs, labels, "doc_id")
     return out.select("doc_id", "text_score", "meta_score", "score",
                       (F.col("score") >= THRESHOLD).alias("kept"))

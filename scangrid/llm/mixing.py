@@ -131,9 +131,9 @@ def mixed(docs: DataFrame, labels: DataFrame, targets=None, domain="lang", budge
     scratch = Scratch(docs.sparkSession, "mixing")
     names, weights = fit_domains(docs, labels, domain)
     if not names:
-        return docs.select("doc_id", F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).cast("long")
-                           .alias("tokens"), F.lit(None).cast("array<double>").alias("posterior"),
-                           F.lit(1.0).alias("rate"))
+        words = F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != "")
+        return docs.select("doc_id", F.size(words).cast("long").alias("tokens"),
+                           F.lit(None).cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
     scored = scratch.write(with_posteriors(docs.select("doc_id", "text"), weights).drop("text"))
     residuals, _ = fit_rates(scored, names, targets or TARGETS, budget)
     return scored.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior"),
@@ -149,10 +149,11 @@ def resampled(docs: DataFrame, labels: DataFrame, targets=None, domain="lang", b
     scored = scratch.write(with_posteriors(docs.select("text"), weights).drop("text"))
     residuals, _ = fit_rates(scored, names, targets or TARGETS, budget)
     rate = rate_of(residuals, 1.0 if budget == "keep" else 0.0)
-    draw = F.pmod(F.xxhash64(F.lit("mix"), *docs.columns), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("mix"), "doc"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
-    out = with_posteriors(docs, weights).withColumn("_copies", copies).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
+    out = with_posteriors(whole, weights).withColumn("_copies", copies).where("_copies > 0")
+    return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
 
 def op10_mixing(spark, sf_dir) -> DataFrame:

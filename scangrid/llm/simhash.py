@@ -154,7 +154,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Rows without an id come last; of rows equal in every column one stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.select(F.struct(*columns).alias("doc"), "doc_id", "text", F.xxhash64(*columns).alias("_row"))
     prints = scratch.write(fingerprints(marked, ("doc_id", "_row")))
     rooted = classes(prints, scratch)
     keep = (prints.join(rooted, "fp").groupBy("root")
@@ -166,10 +167,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = scratch.write(keep.alias("l").join(copies.alias("r"), same).select("l._id", "l._row", "_many"))
     kept = marked.alias("d").join(
         keep.alias("k"), [F.col("d._row") == F.col("k._row"),
-                          F.col("d.doc_id").eqNullSafe(F.col("k._id"))]).select("d.*", "_many")
+                          F.col("d.doc_id").eqNullSafe(F.col("k._id"))]).select("d.doc", "d.doc_id", "d._row", "_many")
     single = kept.where("not _many")
     many = kept.where("_many").dropDuplicates(["_row", "doc_id"])
-    return single.unionByName(many).select(*docs.columns)
+    return single.unionByName(many).select("doc.*")
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:

@@ -30,6 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType, StructType
 
 from .common import Scratch, table
 
@@ -423,16 +424,19 @@ def remove_repeats(docs: DataFrame, bucket_rows=BUCKET_ROWS) -> DataFrame:
             for text, spans in zip(batch.column(0), batch.column(1)):
                 t, s = text.as_py(), spans.as_py()
                 out.append(_kept(t.encode(), _merged(s)).decode(errors="ignore") if s else t)
-            names = [*batch.schema.names[2:], "_kept"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names=names)
-    from pyspark.sql.types import StringType, StructType
-    rest = [c for c in docs.columns if c != "text"]
-    schema = StructType([docs.schema[c] for c in rest]).add("_kept", StringType())
-    out = _with_spans(docs, bucket_rows).select("text", "spans", *rest).mapInArrow(run, schema)
-    out = out.withColumnRenamed("_kept", "text")
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(out, pa.string())],
+                                             names=["rest", "text"])
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("rest")
+    source = _with_spans(docs.select("doc_id", "text", rest), bucket_rows).select("text", "spans", "rest")
+    out = source.mapInArrow(run, StructType([source.schema["rest"]]).add("text", StringType()))
+
+    def column(c):
+        if c == "text":
+            return F.col("text")
+        if c == "n_chars":
+            return F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema[c].dataType).alias(c)
+        return F.col(f"rest.`{c}`")
+    return out.select(*map(column, docs.columns))
 
 
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
