@@ -28,7 +28,7 @@ from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from .common import Scratch, table
 from .features import DIMS, Extractor, Sparse, fit_linear, softmax, sparse_arrays, sparse_rows
 
-LABELLED, STEPS, TOLERANCE = 2000, 100, 1e-7
+LABELLED, STEPS, TOLERANCE = 2000, 60, 1e-5
 #: Sharpness of the posteriors is chosen among these on rows kept apart.
 SHARPNESS = (1, 2, 4, 8, 16)
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
@@ -122,7 +122,9 @@ def fit_rates(scored: DataFrame, names, targets: dict, budget=None, steps=STEPS)
         if np.abs(got - goal).max() <= TOLERANCE * budget:
             break
         residuals.append(left)
-        got = totals(residuals)
+        before, got = got, totals(residuals)
+        if np.abs(got - before).max() <= TOLERANCE * budget:  # as near as nonnegative rates come
+            break
     return residuals, got
 
 
