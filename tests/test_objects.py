@@ -155,7 +155,7 @@ def test_geometric_stop_even_if_semantics_are_wrong(cloud):
     p = cloud([(4, 0, 0, 0), (4.1, 0, 1, 0), (2, 2, 0, 0)])
     cells = occupancy.occupancy_cells(p).cache()
     assert occupancy.corridor_status(p, cells).first().operator_status == "STOP"
-    c = occupancy.occupancy_counts(cells).first()
+    c = occupancy.occupancy_counts(cells, p).first()
     assert c.unknown > 0 and c.occupied >= 1
 
 
