@@ -2,12 +2,12 @@
 
 A classifier trained on labelled rows predicts how far each document belongs to each
 domain. Nonnegative document rates are then fitted so that the expected tokens per domain,
-sum(rate * tokens * posterior), match the targets: least squares by projected gradient steps.
-With residuals divided by the domain's own tokens and steps by the document's, a step is
-rate <- max(0, rate - posterior . residual), whose largest curvature is one, so it converges
-without a search for the step size. A step needs one distributed sum per domain; a document's
-rate follows from its posteriors and the few residual vectors so far, so no state per
-document is kept, joined or shuffled.
+sum(rate * tokens * posterior), match the targets: least squares with each residual divided by
+the domain's own tokens, plus ``RIDGE`` times the tokens' squared change of rate, which picks the
+smallest change among fits that are equally near. The optimum has the form
+rate = max(least, 1 + posterior . dual) with one dual value per domain, found by Newton steps that
+end when the optimality condition holds. A step needs one distributed sum; a document's rate
+follows from its posteriors, so no state per document is kept, joined or shuffled.
 
 The classifier is fitted on at most ``LABELLED`` rows of the labelled table, by smallest hash of
 the id; posteriors, token counts and all sums cover every document. Tokens are words between
@@ -20,15 +20,19 @@ rows every rate is one.
 """
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 
-from .common import Scratch, table
+from .common import Scratch, table, vectors
 from .features import DIMS, Extractor, Sparse, fit_linear, softmax, sparse_arrays, sparse_rows
 
 LABELLED, STEPS, TOLERANCE = 2000, 60, 1e-5
+#: Weight of the change of rates, and the largest violation of optimality as a share of the budget.
+RIDGE, OPTIMAL = 1e-6, 1e-8
 #: Sharpness of the posteriors is chosen among these on rows kept apart.
 SHARPNESS = (1, 2, 4, 8, 16)
 TARGETS = {"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}
@@ -94,11 +98,23 @@ def rate_of(residuals, least=0.0):
     return F.when(F.col("_tokens") > 0, rate).otherwise(1.0)
 
 
+def _goal(have, names, targets: dict, budget):
+    """Tokens wanted per domain, or None if no target can be aimed at."""
+    wish = np.array([float(targets.get(n, 0.0)) for n in names]) * (have > 0)
+    if not wish.sum() or not have.sum():
+        return None
+    wish = wish / wish.sum()
+    if budget is None:
+        budget = have.sum()
+    elif budget == "keep":
+        budget = (have[wish > 0] / wish[wish > 0]).max()
+    return wish * budget
+
+
 def fit_rates(scored: DataFrame, names, targets: dict, budget=None, steps=STEPS):
-    """Residual vectors that give every document's rate, and the domain totals reached.
+    """Residual vectors of at most ``steps`` plain projected gradient steps, and the totals reached.
 
-    ``budget``: tokens wanted in all; None: as many as there are; "keep": the least with
-    which no domain has to lose tokens, with no rate under one.
+    It does not reach the optimum; the operators use ``best_rates``.
     """
     least = 1.0 if budget == "keep" else 0.0
 
@@ -108,15 +124,10 @@ def fit_rates(scored: DataFrame, names, targets: dict, budget=None, steps=STEPS)
         row = scored.agg(*[F.sum(mass * F.col("_posterior")[i]) for i in range(len(names))]).collect()[0]
         return np.array([x or 0.0 for x in row])
     have = totals([])
-    wish = np.array([float(targets.get(n, 0.0)) for n in names]) * (have > 0)
-    if not wish.sum() or not have.sum():
+    goal = _goal(have, names, targets, budget)
+    if goal is None:
         return [], have
-    wish = wish / wish.sum()
-    if budget is None:
-        budget = have.sum()
-    elif budget == "keep":
-        budget = (have[wish > 0] / wish[wish > 0]).max()
-    goal, residuals, got = wish * budget, [], have
+    residuals, got, budget = [], have, goal.sum()
     for _ in range(steps):
         left = np.divide(got - goal, have, out=np.zeros_like(have), where=have > 0)
         if np.abs(got - goal).max() <= TOLERANCE * budget:
@@ -128,6 +139,67 @@ def fit_rates(scored: DataFrame, names, targets: dict, budget=None, steps=STEPS)
     return residuals, got
 
 
+def _sums(scored: DataFrame, duals: np.ndarray, least: float) -> list:
+    """For each row of ``duals``: potential, domain totals and their derivatives, in one pass."""
+    n, k = duals.shape
+
+    def run(batches):
+        out = np.zeros((n, 1 + k + k * k))
+        for b in batches:
+            t = b.column(0).to_numpy(zero_copy_only=False).astype(float)
+            p, some = vectors(b.column(1)).reshape(len(t), -1), t > 0
+            t, p = t[some], p[some]
+            for i, z in enumerate(1 + duals @ p.T):
+                free = z >= least  # at the bound too, else no rate could leave it
+                rate = np.where(free, z, least)
+                out[i, 0] += t @ np.where(free, z * z / 2, least * z - least * least / 2)
+                out[i, 1:1 + k] += (t * rate) @ p
+                out[i, 1 + k:] += ((p * (t * free)[:, None]).T @ p).ravel()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(out.size)), pa.array(out.ravel())], names=["at", "x"])
+    sums = np.zeros(n * (1 + k + k * k))
+    # Fixed size: one row per number, however many documents or partitions there are.
+    for r in (scored.select("_tokens", "_posterior").mapInArrow(run, "at long, x double")
+              .groupBy("at").agg(F.sum("x").alias("x")).collect()):
+        sums[r["at"]] = r["x"]
+    return [(s[0], s[1:1 + k], s[1 + k:].reshape(k, k)) for s in sums.reshape(n, -1)]
+
+
+def best_rates(scored: DataFrame, names, targets: dict, budget=None):
+    """One residual vector that gives every document's rate by ``rate_of``, and the totals reached.
+
+    ``budget``: tokens wanted in all; None: as many as there are; "keep": the least with
+    which no domain has to lose tokens, with no rate under one.
+    """
+    least, k = 1.0 if budget == "keep" else 0.0, len(names)
+    have = _sums(scored, np.zeros((1, k)), 0.0)[0][1]
+    goal = _goal(have, names, targets, budget)
+    if goal is None:
+        return [], have
+    scale = np.where(have > 0, have, 1.0)
+
+    def state(duals):
+        """Dual, value to minimise, its gradient, the totals and their derivatives."""
+        return [(d, v - goal @ d + RIDGE / 2 * (scale * d) @ d, got - goal + RIDGE * scale * d, got, slope)
+                for d, (v, got, slope) in zip(duals, _sums(scored, duals, least))]
+    now = state(np.zeros((1, k)))[0]
+    while np.abs(now[2]).max() > OPTIMAL * goal.sum():
+        dual, value, gradient, _, slope = now
+        root = 1 / np.sqrt(scale)
+        step = -root * np.linalg.solve(root[:, None] * slope * root + RIDGE * np.eye(k), root * gradient)
+        for part in np.split(0.5 ** np.arange(48.0), 3):
+            tried = state(dual + part[:, None] * step)
+            better = [s for a, s in zip(part, tried) if s[1] <= value + 1e-4 * a * (gradient @ step)]
+            # Near the optimum the values differ by less than their rounding; the gradient still tells.
+            better = better or [s for s in tried if np.abs(s[2]).max() < 0.9 * np.abs(gradient).max()]
+            if better:
+                break
+        else:
+            warnings.warn(f"rates: optimality only to {np.abs(gradient).max() / goal.sum():.1e} of the budget")
+            break
+        now = better[0]
+    return [-now[0]], now[3]
+
+
 def mixed(docs: DataFrame, labels: DataFrame, targets=None, domain="lang", budget=None) -> DataFrame:
     """``doc_id, tokens, posterior, rate`` for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "mixing")
@@ -137,7 +209,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets=None, domain="lang", budge
         return docs.select("doc_id", F.size(words).cast("long").alias("tokens"),
                            F.lit(None).cast("array<double>").alias("posterior"), F.lit(1.0).alias("rate"))
     scored = scratch.write(with_posteriors(docs.select("doc_id", "text"), weights).drop("text"))
-    residuals, _ = fit_rates(scored, names, targets or TARGETS, budget)
+    residuals, _ = best_rates(scored, names, targets or TARGETS, budget)
     return scored.select("doc_id", F.col("_tokens").alias("tokens"), F.col("_posterior").alias("posterior"),
                          rate_of(residuals, 1.0 if budget == "keep" else 0.0).alias("rate"))
 
@@ -149,7 +221,7 @@ def resampled(docs: DataFrame, labels: DataFrame, targets=None, domain="lang", b
     if not names:
         return docs
     scored = scratch.write(with_posteriors(docs.select("text"), weights).drop("text"))
-    residuals, _ = fit_rates(scored, names, targets or TARGETS, budget)
+    residuals, _ = best_rates(scored, names, targets or TARGETS, budget)
     rate = rate_of(residuals, 1.0 if budget == "keep" else 0.0)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")

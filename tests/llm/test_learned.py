@@ -98,6 +98,48 @@ def test_mixing_fits_like_brute_force(spark):
     assert (((reached - goal) ** 2) / have).sum() < 0.2 * start
 
 
+def nonnegative(a, b):
+    """Least squares with no negative part (Lawson and Hanson)."""
+    x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while (g := np.where(used, -1, a.T @ (b - a @ x))).max() > 1e-10:
+        used[g.argmax()] = True
+        while True:
+            z = np.zeros_like(x)
+            z[used] = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            if (z[used] > 0).all():
+                x = z
+                break
+            low = used & (z <= 0)
+            x = x + (x[low] / (x[low] - z[low])).min() * (z - x)
+            used &= x > 1e-14
+    return x
+
+
+@pytest.mark.parametrize("budget", [None, "keep"])
+def test_mixing_reaches_least_squares(spark, budget):
+    """Soft posteriors and a rare domain: totals as near the targets as rates can come."""
+    rng = np.random.default_rng(5)
+    said = rng.choice(4, 2000, p=[0.7, 0.2, 0.095, 0.005])
+    p = rng.gamma(0.3 + 5 * np.eye(4)[said]) + 1e-9
+    p /= p.sum(1, keepdims=True)
+    tokens = rng.integers(0, 50, 2000)
+    rows = spark.createDataFrame([(int(t), [float(x) for x in q]) for t, q in zip(tokens, p)],
+                                 "_tokens long, _posterior array<double>").repartition(3)
+    names, least = ["a", "b", "c", "d"], float(budget == "keep")
+    residuals, reached = mixing.best_rates(rows, names, dict(zip(names, [0.5, 0.2, 0.15, 0.15])), budget)
+    have = p.T @ tokens
+    wish = np.array([0.5, 0.2, 0.15, 0.15])
+    total = have.sum() if budget is None else (have / wish).max()
+    a = (p * tokens[:, None]).T / np.sqrt(have)[:, None]
+    x = nonnegative(a / 25, (wish * total - least * have) / np.sqrt(have) / 25)
+    want = least * have + p.T @ (tokens * x)
+    assert np.abs(reached - want).max() < 1e-3 * total
+    got = [(r["_tokens"], r["_posterior"], r["rate"]) for r in
+           rows.withColumn("rate", mixing.rate_of(residuals, least)).collect()]
+    assert np.allclose(sum(t * r * np.array(q) for t, q, r in got), reached)
+    assert min(r for *_, r in got) >= least
+
+
 def test_mixing_of_odd_rows(spark, documents):
     docs = documents(ODD, ids=[None, 1, 2, 3, 4, 5, 6, 6], langs=["en", "de", None, "en", "de", "en", "de", "de"])
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8)] + [(None, 1, 1)], "doc_id long, quality int, toxic int")
