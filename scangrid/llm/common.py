@@ -104,6 +104,18 @@ def spanning_links(close, count: int):
     return out
 
 
+def word_blocks(data: bytes, size=1 << 22):
+    """Words of a text, a block of it at a time, so that a long text is never one list."""
+    at = 0
+    while at < len(data):
+        end = at + size
+        if end < len(data):
+            while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
+                end += 1
+        yield data[at:end].split()
+        at = end
+
+
 def vectors(column) -> np.ndarray:
     """Rows of an Arrow list column of equal lengths as one matrix of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)

@@ -17,25 +17,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, components, spanning_links, table
+from . import minhash
+from .common import Scratch, components, spanning_links, table, word_blocks
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 #: Fingerprints of one bucket compared in one task; larger buckets go another way.
 BUCKET_ROWS = 4096
 
 
-def word_blocks(data: bytes, size=1 << 22):
-    """Words of a text, a block of it at a time, so that a long text is never one list."""
-    at = 0
-    while at < len(data):
-        end = at + size
-        if end < len(data):
-            while end < len(data) and data[end] not in b" \t\n\r\x0b\x0c":
-                end += 1
-        yield data[at:end].split()
-        at = end
-
-
 def fingerprint(text: str | None) -> int:
     """Majority bits over the XXH64 of all shingles, repeats included."""
     ones, total, tail, words = np.zeros(BITS, np.int64), 0, [], 0
@@ -149,15 +138,15 @@ def near_duplicates(docs: DataFrame, bucket_rows=BUCKET_ROWS) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` with one document of every near-duplicate group, the smallest id.
+    """Rows of ``docs`` with one document of every group of similar texts, the smallest id.
 
-    Rows without an id come last; of rows equal in every column one stays.
+    Similar is what ``minhash`` links, as op7's fingerprints join only almost identical texts. Rows without an id come last; of rows equal in every column one stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*columns).alias("doc"), "doc_id", "text", F.xxhash64(*columns).alias("_row"))
-    prints = scratch.write(fingerprints(marked, ("doc_id", "_row")))
-    rooted = classes(prints, scratch)
+    prints = scratch.write(minhash.shingle_sets(marked, ("doc_id", "_row")))
+    rooted = minhash.classes(prints, scratch)
     keep = (prints.join(rooted, "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k"))
             .select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_row")).distinct())

@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from scangrid.llm import chat, packing, simhash, suffix_dedup
+from scangrid.llm import chat, minhash, packing, simhash, suffix_dedup
+from scangrid.llm.common import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -76,6 +77,36 @@ def test_one_of_each_keeps_rows_whole(spark, documents):
         (3, "a b c d e f"), (7, None), (9, "other text of its own here")]
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 6])
+def test_one_of_each_takes_similar_texts(spark, documents, tmp_path, bucket_rows):
+    """Changed words at random places, so similarities lie on both sides of 0.8."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for group in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 500, 120)]
+        for _ in range(6):
+            own = list(base)
+            for at in rng.choice(120, rng.integers(0, 7), replace=False):
+                own[at] = f"new{rng.integers(0, 10**6)}"
+            texts.append(" ".join(own))
+    texts += ["Too short", "too  SHORT", "too short a", "", None]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in words]
+    alike = [[len(a & b) / len(a | b) >= 0.8 for b in sets] for a in sets]
+    root = list(range(len(texts)))
+    for _ in texts:
+        root = [min(root[j] for j in range(len(texts)) if alike[i][j]) for i in range(len(texts))]
+    docs = documents(texts)
+    if bucket_rows == 4096:
+        assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(root))
+        assert len(set(root)) < len({tuple(sorted(s)) for s in sets})
+    scratch = Scratch(spark, "test")
+    prints = scratch.write(minhash.shingle_sets(docs, ("doc_id",)))
+    got = prints.join(minhash.classes(prints, scratch, bucket_rows), "fp").collect()
+    lowest = {r["root"]: min(x["doc_id"] for x in got if x["root"] == r["root"]) for r in got}
+    assert [lowest[r["root"]] for r in sorted(got, key=lambda r: r["doc_id"])] == root
+
+
 def test_simhash_of_nothing(spark, documents):
     assert simhash.near_duplicates(documents(["x"]).where("false")).count() == 0
     assert simhash.one_of_each(documents(["x"]).where("false")).count() == 0
