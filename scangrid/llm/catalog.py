@@ -13,6 +13,9 @@ QUERIES = {
     "op8_toxicity": "toxicity",
     "op9_chat": "chat",
     "op10_mixing": "mixing",
+    "op11_runs": "runs",
+    "op12_codes": "codes",
+    "op13_pieces": "pieces",
 }
 
 
