@@ -13,11 +13,17 @@ GROUND_CTES = ["""pool as materialized (select p.* from points p join (select se
   from points group by 1, 2) f using (sequence, frame_id) where nn < 10 or sqrt(x*x+y*y) < 35)""",
                """low as materialized (select p.* from pool p join (select sequence, frame_id, quantile_cont(z, 0.35) as q from pool group by 1, 2) c
   using (sequence, frame_id) where z <= q)""",
-               f"""smp as materialized (select * from (select sequence, frame_id, x, y, z, count(*) over (partition by sequence, frame_id) as n_low,
-  row_number() over (partition by sequence, frame_id order by {H}, point_id) - 1 as rnk from low) s where rnk < 3000)""",
+               f"""slot as materialized (select sequence, frame_id, slot, min(key) as k0, max(key) as k1, arg_min({{'x': x, 'y': y, 'z': z}}, key) as c0,
+  arg_max({{'x': x, 'y': y, 'z': z}}, key) as c1, count(*) as n from (
+  select *, {H} * 8796093022208 + point_id % 8796093022208 as key, {H} % 120 as slot from low) l group by 1, 2, 3)""",
+               """smp as materialized (select sequence, frame_id, c.x as x, c.y as y, c.z as z, n_low, count(*) over (partition by sequence, frame_id) as m,
+  row_number() over (partition by sequence, frame_id order by slot, key) - 1 as rnk from (
+  select sequence, frame_id, slot, k0 as key, c0 as c from slot union all
+  select sequence, frame_id, slot, k1, c1 from slot where k1 <> k0) u
+  join (select sequence, frame_id, sum(n) as n_low from slot group by 1, 2) f using (sequence, frame_id))""",
                """pick as materialized (select sequence, frame_id, t, c, cast(floor(m*(w-floor(w))) as bigint) as rnk from (
-  select sequence, frame_id, t, c, least(max(n_low), 3000) as m, (t*3+c+1)*0.6180339887498949::double as w
-  from smp, range(40) a(t), range(3) b(c) group by 1, 2, 3, 4) q where m >= 3)""",
+  select sequence, frame_id, t, c, m, n_low, (t*3+c+1)*0.6180339887498949::double as w
+  from (select distinct sequence, frame_id, m, n_low from smp) f, range(40) a(t), range(3) b(c)) q where n_low >= 3)""",
                """tri as (select p.sequence, p.frame_id, t, max(x) filter (where c=0) as x0, max(y) filter (where c=0) as y0, max(z) filter (where c=0) as z0,
   max(x) filter (where c=1) as x1, max(y) filter (where c=1) as y1, max(z) filter (where c=1) as z1,
   max(x) filter (where c=2) as x2, max(y) filter (where c=2) as y2, max(z) filter (where c=2) as z2
@@ -25,11 +31,11 @@ GROUND_CTES = ["""pool as materialized (select p.* from points p join (select se
                """pl0 as (select *, (x1-x0)*(y2-y0)-(x2-x0)*(y1-y0) as det from tri)""",
                """pl1 as (select *, ((z1-z0)*(y2-y0)-(z2-z0)*(y1-y0))/det as a, ((x1-x0)*(z2-z0)-(x2-x0)*(z1-z0))/det as b from pl0 where abs(det) >= 1e-5)""",
                """pl as materialized (select sequence, frame_id, t, a, b, z0-a*x0-b*y0 as c from pl1 where sqrt(a*a+b*b) <= 0.35)""",
-               """vote as materialized (select s.sequence, s.frame_id, t, a, b, c, count(*) as inl from smp s join pl using (sequence, frame_id)
+               """vote as materialized (select s.sequence, s.frame_id, t, a, b, c, count(*) as inl from low s join pl using (sequence, frame_id)
   where abs(z-(a*x+b*y+c)) < 0.12 group by all)""",
                """bst as materialized (select sequence, frame_id, arg_max({'a': a, 'b': b, 'c': c, 'n': inl}, (inl, -t)) as p from vote group by 1, 2)""",
                """fit as materialized (select sequence, frame_id, regr_count(z, x) as n, avg(x) as mx, avg(y) as my, avg(z) as mz, var_pop(x) as sxx, var_pop(y) as syy,
-  covar_pop(x, y) as sxy, covar_pop(x, z) as sxz, covar_pop(y, z) as syz from smp s join bst using (sequence, frame_id)
+  covar_pop(x, y) as sxy, covar_pop(x, z) as sxz, covar_pop(y, z) as syz from low s join bst using (sequence, frame_id)
   where p.n >= 3 and abs(z-(p.a*x+p.b*y+p.c)) < 0.12 group by 1, 2)""",
                """planes as materialized (select sequence, frame_id, a, b, mz-a*mx-b*my as c from (select *, (sxz*syy-syz*sxy)/(sxx*syy-sxy*sxy) as a,
   (syz*sxx-sxz*sxy)/(sxx*syy-sxy*sxy) as b from fit) f)"""]

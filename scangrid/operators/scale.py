@@ -9,6 +9,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.geom import is_finite
 
 
+#: Tables of up to this many rows may go to every executor.
+SMALL_ROWS = 20_000
+
+
+def small(df: DataFrame, rows=SMALL_ROWS) -> DataFrame:
+    """Mark a written or checkpointed table for broadcast if its counted size allows it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def prefix_sums(df: DataFrame, keys, order, bucket: Column, sums: dict,
                 totals=False) -> DataFrame:
     """Running inclusive sums per key in a given order.

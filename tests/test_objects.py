@@ -151,6 +151,39 @@ def test_too_few_points_for_a_plane(cloud):
     assert (r.plane_a, r.plane_b, r.plane_c, r.valid) == (0, 0, 0, False)
 
 
+def test_collinear_returns_fall_back_to_the_median_low_height(cloud):
+    z = [-2.0, -1.9, -1.9, -1.5, -1.0, 0.0, 0.5, 1.0, 2.0, 3.0]
+    rows = [(i, i, v, 0) for i, v in enumerate(z)] + [(1, 1, float("nan"), 0), (float("inf"), 0, -9.0, 0)]
+    r = ground.ground_plane(cloud(rows)).first()
+    low = sorted(v for v in z if v <= np.quantile(z, .35))
+    assert not r.valid and (r.plane_a, r.plane_b) == (0, 0)
+    assert abs(r.plane_c - np.median(low)) < 1e-12
+
+
+def test_few_near_returns_open_the_plane_to_far_ones(cloud):
+    near = [(1, 1, 5, 0), (2, 1, 5, 0)]
+    far = [(40 + i % 7, i % 5, -1.7 + .1 * (i % 7), 0) for i in range(60)]
+    rows = [(*q, 0, f) for f, frame in enumerate((near + far, near, [(float("nan"), 0, 0, 0)])) for q in frame]
+    got = {r.frame_id: r for r in ground.ground_plane(cloud([(*q[:4], 0, q[-1]) for q in rows])).collect()}
+    assert len(got) == 3 and got[0].valid and abs(got[0].plane_a - .1) < .05
+    assert not got[1].valid and not got[2].valid
+
+
+def test_every_low_return_votes(cloud):
+    """The plane most returns agree with wins, however many returns a frame has."""
+    rng = np.random.default_rng(8)
+    xy = rng.uniform(-20, 20, (9000, 2))
+    rows = [(x, y, .02 * x - .01 * y - 1.7, 0) for x, y in xy[:6000]]
+    rows += [(x, y, 4 + rng.uniform(0, 3), 0) for x, y in xy[6000:]]
+    points = cloud(rows)
+    low = points.where("z < 4")
+    cut = np.quantile([q[2] for q in rows], .35)
+    plane = ground.ground_plane(points).first()
+    assert plane.valid and low.where(F.col("z") <= float(cut)).count() > 3000
+    for got, want in zip((plane.plane_a, plane.plane_b, plane.plane_c), (.02, -.01, -1.7)):
+        assert abs(got - want) < 1e-9
+
+
 def test_geometric_stop_even_if_semantics_are_wrong(cloud):
     p = cloud([(4, 0, 0, 0), (4.1, 0, 1, 0), (2, 2, 0, 0)])
     cells = occupancy.occupancy_cells(p).cache()
