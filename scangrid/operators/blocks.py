@@ -128,8 +128,5 @@ def transfer_labels(points: DataFrame, predicted: DataFrame, keys=BLOCK_KEYS,
     local = with_blocks(points.drop(*columns)).withColumn("_gx", F.col("x")).withColumn(
         "_gy", F.col("y")).withColumn("x", F.col("x") - F.col("bx") * 10).withColumn(
         "y", F.col("y") - F.col("by") * 10)
-    near = nearest_capped(local, predicted, keys, 1e4, radii=(0.5, 2.0, 16.0),
-                          source_id="sample_id")
-    info = predicted.select(*keys, F.col("sample_id").alias("nearest_id"), *columns)
-    return (near.join(info, [*keys, "nearest_id"], "left").withColumn("x", F.col("_gx"))
-            .withColumn("y", F.col("_gy")).drop("_gx", "_gy", "nearest_id", "distance"))
+    near = nearest_capped(local, predicted, keys, 1e4, source_id="sample_id", carry=columns)
+    return (near.withColumn("x", F.col("_gx")).withColumn("y", F.col("_gy")).drop("_gx", "_gy", "nearest_id", "distance"))

@@ -84,10 +84,8 @@ def dbscan(points: DataFrame, keys, eps, min_samples) -> DataFrame:
     core = core.join(named.join(least, "label").select("node", "cluster"), "node").select(
         *at, "pid", "cluster")
     border = nearest_capped(all_points.where("not core").select(*at),
-                            core.select(*at, F.col("pid").alias("point_id")), keys, eps,
-                            strict=True)
-    border = border.join(core.select(*keys, F.col("pid").alias("nearest_id"), "cluster"),
-                         [*keys, "nearest_id"], "left").select(*at, "cluster")
+                            core.select(*at, F.col("pid").alias("point_id"), "cluster"), keys, eps,
+                            strict=True, carry=["cluster"]).select(*at, "cluster")
     return points.join(core.select(*at, "cluster").unionByName(border), at, "left")
 
 

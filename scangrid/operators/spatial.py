@@ -1,11 +1,16 @@
-"""Distance-bounded joins as equi-joins on hash cells.
+"""Distance-bounded joins: nearest neighbours by tiles, the others as equi-joins on hash cells.
 
-The query side visits the cells around it, candidates meet in one cell, and an
-exact distance test follows. Equal coordinates are merged on both sides first,
+In an equi-join the query side visits the cells around it, candidates meet in one cell,
+and an exact distance test follows. Equal coordinates are merged on both sides first,
 so a pile of copies costs one row; candidates stream into a map-side aggregate
 and are never kept per group.
 """
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+
+from ..functions.nearest import nearest_within
+from ..session import cut_lineage
+from .scale import small
 
 XYZ, XY = ("x", "y", "z"), ("x", "y")
 
@@ -34,48 +39,59 @@ def _sources(sources, keys, dims, size, extra=()):
                           *_cells(dims, size), *extra)
 
 
-def nearest_capped(queries: DataFrame, sources: DataFrame, keys, cap, radii=None, dims=XYZ,
-                   source_id="point_id", strict=False) -> DataFrame:
-    """Nearest source of each query row within ``cap``: adds ``distance``, ``nearest_id``.
+def nearest_capped(queries: DataFrame, sources: DataFrame, keys, cap, dims=XYZ,
+                   source_id="point_id", strict=False, carry=()) -> DataFrame:
+    """Nearest source of each query row within ``cap``: adds ``distance``, ``nearest_id``
+    and the source's ``carry`` columns, null where nothing is within the cap.
 
-    Radii grow; a query is settled by the first radius that finds anything, because
-    nothing closer can lie outside it. NULLs mean nothing within the cap. Ties go to
-    the smaller id. Without ``radii`` the cap may be a Column over the keys.
+    Both sides are shuffled once, by tiles of the ground plane; a source also goes to the
+    tiles within ``cap`` of it. Inside a tile radii grow on a sorted grid. Ties go to the
+    smaller id. ``cap`` may be a Column over the keys. A tile belongs to one group of
+    ``keys``, so it holds a part of a frame at most.
     """
-    keys = list(keys)
-    radii = [*[r for r in (radii or ()) if r < cap], cap]
-    at = [*keys, *dims]
-    state = queries.select(*at).distinct().withColumn("_best", F.lit(None).cast(
-        "struct<d:double,id:bigint>"))
-    merged = sources.groupBy(*at).agg(F.min(source_id).alias("s_id"))
-    for step, r in enumerate(radii):
-        cand = _sources(merged, keys, dims, r, ["s_id"]).withColumn("_open", F.lit(True))
-        # Settled rows keep their own cell and a flag that matches no source.
-        open_ = F.col("_best").isNull()
-        probe = state
-        for d in dims:
-            c = F.floor(F.col(d) / r)
-            probe = probe.withColumn(f"_c{d}", F.explode(
-                F.when(open_, F.sequence(c - 1, c + 1)).otherwise(F.array(c))))
-        probe = probe.withColumn("_open", open_)
-        joined = probe.join(cand, [*keys, "_open", *[f"_c{d}" for d in dims]], "left")
-        d2 = square_distance(dims)
-        near = d2 < r * r if strict and step == len(radii) - 1 else d2 <= r * r
-        found = F.when(near, F.struct(F.sqrt(d2).alias("d"), F.col("s_id").alias("id")))
-        state = joined.groupBy(*at).agg(
-            F.coalesce(F.max("_best"), F.min(found)).alias("_best"))
-    best = state.select(*at, F.col("_best.d").alias("distance"),
-                        F.col("_best.id").alias("nearest_id"))
-    return queries.join(best, at, "left")
-
-
-def motion_residual(points: DataFrame, ego: DataFrame, keys=("sequence",), cap=3.0,
-                    radii=(0.25, 1.0)) -> DataFrame:
+    keys, carry = list(keys), list(carry)
+    reach = cap if isinstance(cap, Column) else F.lit(float(cap))
+    side = F.greatest(reach * 16, F.lit(25.0))
+    ground = dims[:2]
+    q = queries.withColumn("_cap", reach)
+    # New names for all columns: queries and sources often come from one table.
+    s = sources.select(*[F.col(c).alias(c) for c in (*keys, *dims, source_id)],
+                       *[F.col(c).alias(f"_s_{c}") for c in carry])
+    for d in ground:
+        q = q.withColumn(f"_t{d}", F.floor(F.col(d) / side))
+        s = s.withColumn(f"_t{d}", F.explode(F.sequence(
+            F.floor((F.col(d) - reach) / side), F.floor((F.col(d) + reach) / side))))
+    tile = [*keys, *[f"_t{d}" for d in ground]]
+    names = [*queries.columns, "distance", "nearest_id", *carry]
+    schema = T.StructType([*queries.schema.fields, T.StructField("distance", T.DoubleType()),
+                           T.StructField("nearest_id", sources.schema[source_id].dataType),
+                           *[T.StructField(c, sources.schema[c].dataType) for c in carry]])
+    dims, width = list(dims), len(queries.columns)
+
+    def search(left, right):
+        import pyarrow as pa
+
+        def places(table):
+            return np.stack([table.column(d).to_numpy().astype(float) for d in dims], 1)
+        if left.num_rows and right.num_rows:
+            ids = right.column(source_id).to_numpy()
+            d2, at = nearest_within(places(left), places(right), ids, left.column("_cap")[0].as_py(), strict)
+        else:
+            d2, at = np.full(left.num_rows, np.inf), np.full(left.num_rows, -1)
+        take = pa.array(at, mask=at < 0)
+        found = [pa.array(np.sqrt(d2), mask=at < 0), right.column(source_id).take(take),
+                 *[right.column(f"_s_{c}").take(take) for c in carry]]
+        return pa.table([*left.columns[:width], *found], names=names)
+    return q.groupBy(*tile).cogroup(s.groupBy(*tile)).applyInArrow(search, schema)
+
+
+def motion_residual(points: DataFrame, ego: DataFrame, keys=("sequence",), cap=3.0) -> DataFrame:
     """Distance of each point to the nearest ego-compensated point of the previous frame.
 
     Capped at 3 m; NULL in frames without a previous pose.
     """
     from ..functions.geom import rigid, rigid_apply
+    ego = small(cut_lineage(ego))  # one row per frame
     previous = points.select(*keys, F.col("frame_id").alias("previous_frame"), "point_id",
                              "x", "y", "z")
     warped = previous.join(ego, [*keys, "previous_frame"])
@@ -83,12 +99,10 @@ def motion_residual(points: DataFrame, ego: DataFrame, keys=("sequence",), cap=3
     # 0.1 mm, far below sensor noise, makes equal warped positions compare equal.
     warped = warped.select(*keys, "frame_id", "point_id", *[
         (F.floor(v * 10000 + 0.5) / 10000).alias(d) for v, d in ((wx, "x"), (wy, "y"), (wz, "z"))])
-    posed = points.join(ego.select(*keys, "frame_id"), [*keys, "frame_id"])
-    out = nearest_capped(posed, warped, [*keys, "frame_id"], cap, radii)
-    residual = out.withColumn("residual", F.coalesce("distance", F.lit(float(cap)))).drop(
-        "distance", "nearest_id")
-    without = points.join(ego.select(*keys, "frame_id"), [*keys, "frame_id"], "left_anti")
-    return residual.unionByName(without.withColumn("residual", F.lit(None).cast("double")))
+    posed = points.join(ego.select(*keys, "frame_id", F.lit(True).alias("_posed")), [*keys, "frame_id"], "left")
+    out = nearest_capped(posed, warped, [*keys, "frame_id"], cap)
+    return out.withColumn("residual", F.when(F.col("_posed"), F.coalesce("distance", F.lit(float(cap))))).drop(
+        "distance", "nearest_id", "_posed")
 
 
 def within_radius(queries: DataFrame, sources: DataFrame, keys, r, dims=XY) -> DataFrame:
@@ -232,6 +246,7 @@ def temporal_match(leaf_rows: DataFrame, ego: DataFrame, keys=("sequence",), r=0
     old = centres.select(*keys, F.col("frame_id").alias("previous_frame"), "leaf_id",
                          F.col("dominant_class").alias("old_class"),
                          F.col("size_mm").alias("old_size_mm"), "cx", "cy", "mean_z")
+    ego = small(cut_lineage(ego))  # one row per frame
     old = old.join(ego, [*keys, "previous_frame"])
     wx, wy, wz = rigid_apply(rigid("e_t"), "cx", "cy", "mean_z")
     # Averages may differ in their last bits between two evaluations of a plan, so
@@ -244,10 +259,8 @@ def temporal_match(leaf_rows: DataFrame, ego: DataFrame, keys=("sequence",), r=0
         *keys, "frame_id", "size_mm", "dominant_class", "leaf_id",
         *[snap(F.col(c)).alias(d) for c, d in (("cx", "x"), ("cy", "y"), ("mean_z", "z"))])
     at = [*keys, "frame_id"]
-    matched = nearest_capped(new, old, at, r, dims=XYZ, source_id="leaf_id", strict=True)
-    info = old.select(*at, F.col("leaf_id").alias("nearest_id"), "old_class", "old_size_mm",
-                      F.col("z").alias("old_z"))
-    return matched.join(info, [*at, "nearest_id"], "left")
+    return nearest_capped(new, old.withColumn("old_z", F.col("z")), at, r, source_id="leaf_id", strict=True,
+                          carry=("old_class", "old_size_mm", "old_z"))
 
 
 def temporal_summary(matches: DataFrame, keys=("sequence", "frame_id")) -> DataFrame:
