@@ -3,10 +3,11 @@ from pyspark.sql import functions as F
 
 from scangrid.operators import cluster, grid, metrics
 from scangrid.plans.frames import frame_documents
-from scangrid.streaming import frames as SF
+from scangrid.streaming import frames as SF, sequence as SQ
 
 from . import sqltext as S, views as V
 from .maps import K, cells, frame_speed, r
+from .neighbours import NEAR27, PROPOSAL_CTES, hash_sql, track_ctes
 from .registry import register
 
 
@@ -93,6 +94,42 @@ def stream_uniform_grid(spark, sf):
         *K, "lx", "ly", "point_count", "min_z", "max_z")
 
 
+@register("stream_sequence_frames", V.with_sql(
+    *PROPOSAL_CTES, V.POSES_SQL, V.TURNED_SQL, *track_ctes("turned_ego", "e.r00*o.center_x+e.r01*o.center_y+e.ex",
+                                                           "e.r10*o.center_x+e.r11*o.center_y+e.ey"), f"""
+ warped as (select e.sequence, e.frame_id, floor((r00*p.x+r01*p.y+ex)*10000+0.5)/10000 as x, floor((r10*p.x+r11*p.y+ey)*10000+0.5)/10000 as y,
+   floor(p.z*10000+0.5)/10000 as z from points p join turned_ego e on p.sequence=e.sequence and p.frame_id=e.previous_frame),
+ w2 as materialized (select distinct *, {hash_sql('warped', 3)} from warped),
+ q as materialized (select *, cx+ox as hx, cy+oy as hy, cz+oz as hz from (select *, {hash_sql('points', 3)} from points) p, {NEAR27}),
+ best as materialized (select q.sequence, q.frame_id, q.point_id, min(sqrt((q.x-w.x)*(q.x-w.x)+(q.y-w.y)*(q.y-w.y)+(q.z-w.z)*(q.z-w.z))) as d
+  from q join w2 w on q.sequence=w.sequence and q.frame_id=w.frame_id and q.hx=w.cx and q.hy=w.cy and q.hz=w.cz group by 1, 2, 3)""", body="""
+ select sequence, frame_id, 'frame' as kind, null::bigint as id, null::bigint as previous_id, null::double as distance,
+  round(coalesce(sqrt(mx*mx+my*my)/dt, 0), 6) as speed, round(coalesce(atan2(my, mx), 0), 6) as heading from turned_ego
+ union all select sequence, frame_id, 'box', object_id, previous_id, round(distance, 6), round(distance/dt, 6), null from chosen
+ union all select p.sequence, p.frame_id, 'point', p.point_id, null, round(least(coalesce(d, 3), 3), 6), null, null
+  from points p join turned_ego e on p.sequence=e.sequence and p.frame_id=e.frame_id and e.previous_frame is not null
+  left join best b on b.sequence=p.sequence and b.frame_id=p.frame_id and b.point_id=p.point_id""", recursive=True))
+def stream_sequence_frames(spark, sf):
+    """Frames in parts, shuffled over files and micro-batches; poses turn. Speeds, tracks and residuals."""
+    p = V.points(spark, sf)
+    boxes = cluster.object_proposals(p, rules=cluster.PROPOSAL_RULES[1:])
+    start = F.lit(1_700_000_000.0)
+    parts = SQ.frame_parts(p, boxes, V.turned_poses(spark, sf), F.timestamp_seconds(start + F.col("ts_s")),
+                           part_points=4000)
+    # A last empty frame of its own sequence moves the watermark past all others.
+    last = parts.limit(0).unionByName(spark.range(1).select(
+        F.lit(-1).cast("long").alias("sequence"), F.lit(0).cast("long").alias("frame_id"),
+        F.timestamp_seconds(start + 86400).alias("ts"), *[
+            F.lit(None).cast(parts.schema[c].dataType).alias(c) for c in parts.columns[3:]]))
+    path = SF.shared_folder(spark, "frame-parts")
+    SQ.write_frames(parts, path, files=6)
+    last.coalesce(1).write.mode("append").parquet(path)
+    stream = SF.read_frames(spark, path, parts.schema, files_per_trigger=2)
+    out = SF.run_to_table(SQ.follow_frames(stream, late="1 hour"), "sequence-frames")
+    return out.where("sequence >= 0").select(
+        *K, "kind", "id", "previous_id", r("distance", 6), r("speed", 6), r("heading", 6))
+
+
 @register("frame_documents", V.with_sql(
     V.POINTS_SQL, V.POSES_SQL, S.MOTION_SQL, *S.grid_ctes(policies=["uniform", "adaptive"]), body="""
  select f.sequence, f.frame_id, point_count, a as adaptive_cells, u as uniform_cells, a*42 as adaptive_bytes, least(a, 2000) as drawn, round(speed, 9) as speed_mps

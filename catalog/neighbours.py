@@ -185,8 +185,11 @@ OBJ_KEYS = "sequence, frame_id, object_id, fallback"
 
 def box_ctes(k, floor):
     return [f"""b{k} as materialized (select *, case when points > 2 then atan2(2*cxy, cxx-cyy)/2 else 0 end as yaw from (
-  select {OBJ_KEYS}, count(*) as points, avg(x) as mx, avg(y) as my, avg(z) as mz, covar_samp(x, y) as cxy, var_samp(x) as cxx,
-   var_samp(y) as cyy, min(z) as z0, max(z) as z1, avg(conf) as confidence from mem{k} group by {OBJ_KEYS}) s)""",
+  select *, sx::double/points/1000 as mx, sy::double/points/1000 as my, (points::hugeint*sxy-sx::hugeint*sy)::double as cxy,
+   (points::hugeint*sxx-sx::hugeint*sx)::double as cxx, (points::hugeint*syy-sy::hugeint*sy)::double as cyy from (
+   select {OBJ_KEYS}, count(*) as points, sum(xi) as sx, sum(yi) as sy, sum(xi*yi) as sxy, sum(xi*xi) as sxx, sum(yi*yi) as syy,
+    min(z) as z0, max(z) as z1, avg(conf) as confidence from (select *, cast(floor(x*1000+0.5) as bigint) as xi,
+    cast(floor(y*1000+0.5) as bigint) as yi from mem{k}) m group by {OBJ_KEYS}) t) s)""",
             f"""x{k} as materialized (select {OBJ_KEYS}, min(u) as u0, max(u) as u1, min(v) as v0, max(v) as v1 from (
   select {OBJ_KEYS}, (m.x-mx)*cos(yaw)+(m.y-my)*sin(yaw) as u, (m.y-my)*cos(yaw)-(m.x-mx)*sin(yaw) as v
   from mem{k} m join b{k} using ({OBJ_KEYS})) q group by {OBJ_KEYS})""",
@@ -216,16 +219,39 @@ def object_proposals(spark, sf):
    +(n.center_z-o.center_z)*(n.center_z-o.center_z)), 6) as distance
  from box3 n join ego e on e.sequence=n.sequence and e.frame_id=n.frame_id
  join box3 o on o.sequence=n.sequence and o.frame_id=e.previous_frame
- where not n.fallback and not o.fallback and distance < 2""", recursive=True))
+ where not n.fallback and not o.fallback and (n.center_x-o.center_x-ex)*(n.center_x-o.center_x-ex)+(n.center_y-o.center_y-ey)*(n.center_y-o.center_y-ey)
+   +(n.center_z-o.center_z)*(n.center_z-o.center_z) < 4""", recursive=True))
 def track_candidates(spark, sf):
     return tracks.track_candidates(cluster.object_proposals(
         V.points(spark, sf), rules=cluster.PROPOSAL_RULES[1:]), ego(spark, sf)).select(
         *K, "object_id", "previous_id", r("distance", 6))
 
 
-@register("attach_tracks")
+def track_ctes(ego, x, y):
+    """CTEs `cand` and `chosen`: boxes in id order take the nearest old box that is still free."""
+    d2 = "(n.center_x-o.wx)*(n.center_x-o.wx)+(n.center_y-o.wy)*(n.center_y-o.wy)+(n.center_z-o.center_z)*(n.center_z-o.center_z)"
+    return [f"""cand as materialized (select n.sequence, n.frame_id, n.object_id, o.object_id as previous_id, o.dt, sqrt({d2}) as distance
+  from box3 n join (select e.sequence, e.frame_id, e.dt, o.object_id, {x} as wx, {y} as wy, o.center_z from box3 o join {ego} e
+   on o.sequence=e.sequence and o.frame_id=e.previous_frame where not o.fallback) o on o.sequence=n.sequence and o.frame_id=n.frame_id
+  where not n.fallback and {d2} < 4)""",
+            """turn as materialized (select sequence, frame_id, object_id, row_number() over (partition by sequence, frame_id order by object_id) as k
+  from (select distinct sequence, frame_id, object_id from cand) c)""",
+            """taking as (select sequence, frame_id, 0::bigint as k, null::bigint as object_id, null::struct(i bigint, d double, t double) as b, []::bigint[] as used
+  from (select distinct sequence, frame_id from cand) f union all
+  select sequence, frame_id, k, object_id, b, case when b is null then used else list_append(used, b.i) end from (
+   select w.sequence, w.frame_id, o.k, o.object_id, w.used, arg_min({'i': c.previous_id, 'd': c.distance, 't': c.dt}, (c.distance, c.previous_id))
+    filter (where not list_contains(w.used, c.previous_id)) as b from taking w
+   join turn o on o.sequence=w.sequence and o.frame_id=w.frame_id and o.k=w.k+1
+   join cand c on c.sequence=o.sequence and c.frame_id=o.frame_id and c.object_id=o.object_id
+   group by w.sequence, w.frame_id, o.k, o.object_id, w.used) x)""",
+            "chosen as (select sequence, frame_id, object_id, b.i as previous_id, b.d as distance, b.t as dt from taking where b is not null)"]
+
+
+@register("attach_tracks", V.with_sql(*PROPOSAL_CTES, V.POSES_SQL, EGO_SQL, *track_ctes(
+    "ego", "o.center_x+ex", "o.center_y+ey"), body="""
+ select b.sequence, b.frame_id, b.object_id, previous_id, round(distance, 6) as displacement_m, round(distance/dt, 6) as speed_mps
+ from box3 b left join chosen c on c.sequence=b.sequence and c.frame_id=b.frame_id and c.object_id=b.object_id and not b.fallback""", recursive=True))
 def attach_tracks(spark, sf):
-    """Greedy one-to-one choice depends on earlier choices; tested against brute force."""
     boxes = cluster.object_proposals(V.points(spark, sf), rules=cluster.PROPOSAL_RULES[1:])
     return tracks.attach_tracks(boxes, ego(spark, sf)).select(
         *K, "object_id", "previous_id", r("displacement_m", 6), r("speed_mps", 6))

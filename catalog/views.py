@@ -86,6 +86,23 @@ POSES_SQL = """poses as (
  from lineitem)"""
 
 
+def turned_poses(spark, sf) -> DataFrame:
+    """Like ``poses``, but every other frame is turned left by the angle of sine 40/401."""
+    odd = F.col("frame_id") % 2 == 1
+    cos, sin = F.when(odd, 399 / 401).otherwise(1.0), F.when(odd, 40 / 401).otherwise(0.0)
+    return poses(spark, sf).withColumns({"t00": cos, "t01": -sin, "t10": sin, "t11": cos})
+
+
+TURNED_SQL = """turned as (select *, case when frame_id % 2 = 1 then 399::double/401 else 1 end as c,
+  case when frame_id % 2 = 1 then 40::double/401 else 0 end as s from poses),
+ turned_pairs as (select *, lag(frame_id) over w as pf, lag(c) over w as pc, lag(s) over w as ps,
+  lag(tx) over w as ptx, lag(ty) over w as pty, lag(ts_s) over w as pts from turned
+  window w as (partition by sequence order by frame_id)),
+ turned_ego as materialized (select sequence, frame_id, pf as previous_frame, ts_s - pts as dt, c*pc+s*ps as r00, c*-ps+s*pc as r01,
+  -s*pc+c*ps as r10, -s*-ps+c*pc as r11, c*(ptx-tx)+s*(pty-ty) as ex, -s*(ptx-tx)+c*(pty-ty) as ey,
+  pc*(tx-ptx)+ps*(ty-pty) as mx, -ps*(tx-ptx)+pc*(ty-pty) as my from turned_pairs)"""
+
+
 def raw_labels(spark, sf) -> DataFrame:
     p = points(spark, sf)
     i = F.col("instance_id")

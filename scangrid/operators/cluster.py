@@ -101,14 +101,21 @@ def oriented_boxes(members: DataFrame, keys, floor) -> DataFrame:
     partial aggregates; the second pass only adds four extremes per group.
     """
     keys = list(keys)
+    # Whole millimetres add up to the same sums in any order, so a heading that hangs on
+    # equal spreads does not change from run to run.
+    xi, yi = (F.floor(F.col(d) * 1000 + 0.5) for d in "xy")
     first = members.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("points"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
-        F.covar_samp("x", "y").alias("cxy"), F.var_samp("x").alias("cxx"),
-        F.var_samp("y").alias("cyy"), F.min("z").alias("z0"), F.max("z").alias("z1"),
-        F.avg("conf").alias("confidence"))
-    yaw = F.when(F.col("points") > 2,
-                 F.atan2(2 * F.col("cxy"), F.col("cxx") - F.col("cyy")) / 2).otherwise(0.0)
-    first = first.withColumn("yaw", yaw).drop("cxy", "cxx", "cyy")
+        F.count(F.lit(1)).alias("points"), F.sum(xi).alias("sx"), F.sum(yi).alias("sy"),
+        F.sum(xi * yi).alias("sxy"), F.sum(xi * xi).alias("sxx"), F.sum(yi * yi).alias("syy"),
+        F.min("z").alias("z0"), F.max("z").alias("z1"), F.avg("conf").alias("confidence"))
+
+    def spread_of(product, a, b):
+        whole = [F.col(c).cast("decimal(19,0)") for c in ("points", product, a, b)]
+        return (whole[0] * whole[1] - whole[2] * whole[3]).cast("double")
+    cxy, cxx, cyy = spread_of("sxy", "sx", "sy"), spread_of("sxx", "sx", "sx"), spread_of("syy", "sy", "sy")
+    yaw = F.when(F.col("points") > 2, F.atan2(2 * cxy, cxx - cyy) / 2).otherwise(0.0)
+    first = first.select(*keys, "points", "z0", "z1", "confidence", yaw.alias("yaw"),
+                         *[(F.col(f"s{d}") / F.col("points") / 1000).alias(f"m{d}") for d in "xy"])
     rx, ry = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
     u = rx * F.cos("yaw") + ry * F.sin("yaw")
     v = ry * F.cos("yaw") - rx * F.sin("yaw")

@@ -32,6 +32,10 @@ SLOTS = 120
 ORDER = 1 << 43
 
 
+#: Sums that the least-squares fit needs, in the order of ``_fitted``.
+SUMS = (("x", ""), ("y", ""), ("z", ""), ("x", "x"), ("y", "y"), ("x", "y"), ("x", "z"), ("y", "z"))
+
+
 def _usable():
     return G.is_finite("x") & G.is_finite("y") & G.is_finite("z")
 
@@ -99,7 +103,7 @@ def candidate_planes(points: DataFrame, ranks: DataFrame, keys, triples, max_slo
                     (h % SLOTS).alias("_slot"), order.alias("_key"), *XYZ))
     ends = [F.min("_key").alias("_k0"), F.max("_key").alias("_k1")]
     ends += [pick(F.col(d), F.col("_key")).alias(f"{d}{i}") for i, pick in enumerate((F.min_by, F.max_by)) for d in XYZ]
-    rows = rows.groupBy(*keys, "_v", "_slot", "_pos").agg(F.count(F.lit(1)).alias("_n"), *ends)
+    rows = cut_lineage(rows.groupBy(*keys, "_v", "_slot", "_pos").agg(F.count(F.lit(1)).alias("_n"), *ends))
     cut = _value_at(rows.where("_v is not null").groupBy(*keys, "_v", "_pos").agg(F.sum("_n").alias("_n")),
                     keys, "_cut")
     again = [F.sum("_n").alias("_n"), F.min("_k0").alias("_k0"), F.max("_k1").alias("_k1")]
@@ -134,8 +138,8 @@ def ground_plane(points: DataFrame, keys=("sequence", "frame_id"), triples=40, t
 
     The first scan makes a histogram of heights; the second finds the cut below which
     returns are low and the corners of candidate planes; the third gives every candidate its
-    votes together with the sums of the least-squares fit over the voters. Between scans
-    there is one row per frame, in the checkpoint folder. A frame whose candidates all fail
+    votes together with the sums of the least-squares fit over the voters. Each scan leaves its
+    sums in the checkpoint folder, so none is made twice. A frame whose candidates all fail
     gets its median low height; one with fewer than three low returns gets zeros.
     Returns that are not finite take no part.
     """
@@ -149,15 +153,14 @@ def ground_plane(points: DataFrame, keys=("sequence", "frame_id"), triples=40, t
     off = F.abs(F.col("z") - (p["a"] * F.col("x") + p["b"] * F.col("y") + p["c"]))
     voted = low.select(*keys, *XYZ, "_low", F.explode_outer("_planes").alias("_p")).where(
         p.isNull() | (off < tolerance))
-    votes = voted.groupBy(*keys, "_low", p["t"].alias("_t"), F.when(p.isNull(), F.col("z")).alias("_v")).agg(
+    votes = cut_lineage(voted.groupBy(*keys, "_low", p["t"].alias("_t"), F.when(p.isNull(), F.col("z")).alias("_v")).agg(
         F.count(F.lit(1)).alias("_n"), *[F.max(p[v]).alias(v) for v in "abc"],
-        F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz"), F.var_pop("x").alias("sxx"),
-        F.var_pop("y").alias("syy"), F.covar_pop("x", "y").alias("sxy"), F.covar_pop("x", "z").alias("sxz"),
-        F.covar_pop("y", "z").alias("syz"))
+        *[F.sum(F.col(a) * F.col(b) if b else F.col(a)).alias(f"_s{a}{b}") for a, b in SUMS]))
     rank = F.col("_n") * 1024 + (1023 - F.col("_t"))  # most votes, then the earliest
-    fields = ["_n", "a", "b", "c", "mx", "my", "mz", "sxx", "syy", "sxy", "sxz", "syz"]
+    fields = ["_n", "a", "b", "c", *[f"_s{a}{b}" for a, b in SUMS]]
     best = votes.where("_t is not null").groupBy(*keys).agg(*[F.max_by(f, rank).alias(f) for f in fields])
-    fit = _fitted(*[F.col(f) for f in ("_n", *fields[4:])])
+    mean = {d: F.col(f"_s{d}") / F.col("_n") for d in XYZ}
+    fit = _fitted("_n", *mean.values(), *[F.col(f"_s{a}{b}") / F.col("_n") - mean[a] * mean[b] for a, b in SUMS[3:]])
     best = best.select(*keys, "_n", *[F.coalesce(f, F.col(v)).alias(v) for f, v in zip(fit, "abc")])
     median = _value_at(votes.where("_t is null").select(
         *keys, "_v", "_n", ((F.col("_low") - 1) * 0.5).alias("_pos")), keys, "_median")

@@ -18,8 +18,8 @@ def track_candidates(boxes: DataFrame, ego: DataFrame, keys=("sequence",), reach
                      *[v.alias(f"s_{d}") for v, d in zip(warped, XYZ)])
     old = old.select("*", *[F.floor(F.col(f"s_{d}") / reach).alias(f"_c{d}") for d in XY])
     pairs = around(b, XY, reach).join(old, [*keys, "frame_id", "_cx", "_cy"])
-    return (pairs.withColumn("distance", F.sqrt(square_distance()))
-            .where(F.col("distance") < reach).drop("_cx", "_cy"))
+    return (pairs.where(square_distance() < reach * reach)
+            .withColumn("distance", F.sqrt(square_distance())).drop("_cx", "_cy"))
 
 
 def attach_tracks(boxes: DataFrame, ego: DataFrame, keys=("sequence",), reach=2.0) -> DataFrame:

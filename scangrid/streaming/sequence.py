@@ -71,8 +71,9 @@ def choose_tracks(ids, boxes, old_ids, old_boxes, reach):
     free = np.ones(len(old_ids), bool)
     for i in np.argsort(ids, kind="stable"):
         gap = old_boxes - boxes[i]
-        distance = np.sqrt((gap * gap).sum(1))
-        at = np.flatnonzero(free & (distance < reach))
+        d2 = (gap * gap).sum(1)
+        distance = np.sqrt(d2)
+        at = np.flatnonzero(free & (d2 < reach * reach))
         if len(at):
             best = at[np.lexsort((old_ids[at], distance[at]))[0]]
             free[best] = False
