@@ -36,7 +36,8 @@ def frame_parts(points: DataFrame, boxes: DataFrame, poses: DataFrame, ts, keys=
         F.struct("point_id", "x", "y", "z"))).alias("_p"))
     tracked = boxes.where("class = 3 and not fallback").groupBy(*keys).agg(F.array_sort(F.collect_list(
         F.struct("object_id", "center_x", "center_y", "center_z"))).alias("_b"))
-    pose = F.array(*[F.col(f"t{r}{c}") for r in range(3) for c in range(4)])
+    pose = [F.col(f"t{r}{c}") for r in range(3) for c in range(4)]
+    pose = F.when(F.concat(*[p.cast("string") for p in pose]).isNotNull(), F.array(*pose))
     first = poses.select(*keys, pose.alias("pose"), ts.alias("ts")).join(tracked, keys, "left")
 
     def flat(column, names):
@@ -86,7 +87,7 @@ def _numbers(raw, kind=np.float64, width=None):
 
 
 def _bytes(values, kind=np.float64):
-    return np.ascontiguousarray(values, kind).tobytes()
+    return b"" if values is None else np.ascontiguousarray(values, kind).tobytes()
 
 
 class SequenceFrames(StatefulProcessor):
@@ -106,7 +107,7 @@ class SequenceFrames(StatefulProcessor):
         self.points = handle.getListState("points", "points binary")
         self.boxes = handle.getListState("boxes", "id long, x double, y double, z double")
 
-    def handleInputRows(self, key, rows, timer_values):
+    def handleInputRows(self, key, rows, timerValues):
         number = 0
         taken = None
         for chunk in rows:
@@ -124,8 +125,8 @@ class SequenceFrames(StatefulProcessor):
                 self.handle.registerTimer(at // 1000 + 1)  # whole milliseconds, past the frame's time
         return iter(())
 
-    def handleExpiredTimer(self, key, timer_values, expired):
-        until = expired.getExpiryTimeInMs() * 1000
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
         due = sorted(k for k in self.waiting.keys() if k[0] < until)
         at = 0
         while at < len(due):
