@@ -51,6 +51,12 @@ class Scratch:
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
 
+    def drop_others(self, *kept: DataFrame) -> None:
+        """Remove all tables but those that a result still reads."""
+        for frame, _ in [*self.paths.values()]:
+            if not any(frame is k for k in kept):
+                self.drop(frame)
+
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``node, root`` for every node of ``edges(a, b)``; one root per connected component.

@@ -140,13 +140,14 @@ def near_duplicates(docs: DataFrame, bucket_rows=BUCKET_ROWS) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with one document of every group of similar texts, the smallest id.
 
-    Similar is what ``minhash`` links, as op7's fingerprints join only almost identical texts. Rows without an id come last; of rows equal in every column one stays.
+    Similar is what ``minhash`` links, as op7's fingerprints join only almost identical texts.
+    Rows without an id come last; of rows equal in every column one stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*columns).alias("doc"), "doc_id", "text", F.xxhash64(*columns).alias("_row"))
-    prints = scratch.write(minhash.shingle_sets(marked, ("doc_id", "_row")))
-    rooted = minhash.classes(prints, scratch)
+    prints = scratch.write(minhash.sketches(marked, ("doc_id", "_row")))
+    rooted = minhash.classes(marked, prints, scratch)
     keep = (prints.join(rooted, "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k"))
             .select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_row")).distinct())
@@ -154,6 +155,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
               .agg((F.count(F.lit(1)) > 1).alias("_many")))
     same = [F.col("l._row") == F.col("r._row"), F.col("l._id").eqNullSafe(F.col("r._id"))]
     keep = scratch.write(keep.alias("l").join(copies.alias("r"), same).select("l._id", "l._row", "_many"))
+    scratch.drop_others(keep)
     kept = marked.alias("d").join(
         keep.alias("k"), [F.col("d._row") == F.col("k._row"),
                           F.col("d.doc_id").eqNullSafe(F.col("k._id"))]).select("d.doc", "d.doc_id", "d._row", "_many")

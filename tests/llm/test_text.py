@@ -77,8 +77,8 @@ def test_one_of_each_keeps_rows_whole(spark, documents):
         (3, "a b c d e f"), (7, None), (9, "other text of its own here")]
 
 
-@pytest.mark.parametrize("bucket_rows", [4096, 6])
-def test_one_of_each_takes_similar_texts(spark, documents, tmp_path, bucket_rows):
+@pytest.mark.parametrize("bucket", [minhash.BUCKET_SHINGLES, 500])
+def test_one_of_each_takes_similar_texts(spark, documents, tmp_path, bucket):
     """Changed words at random places, so similarities lie on both sides of 0.8."""
     rng = np.random.default_rng(2)
     texts = []
@@ -97,16 +97,28 @@ def test_one_of_each_takes_similar_texts(spark, documents, tmp_path, bucket_rows
     for _ in texts:
         root = [min(root[j] for j in range(len(texts)) if alike[i][j]) for i in range(len(texts))]
     docs = documents(texts)
-    if bucket_rows == 4096:
+    if bucket == minhash.BUCKET_SHINGLES:
         assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(root))
         assert len(set(root)) < len({tuple(sorted(s)) for s in sets})
     scratch = Scratch(spark, "test")
-    prints = scratch.write(minhash.shingle_sets(docs, ("doc_id",)))
-    got = prints.join(minhash.classes(prints, scratch, bucket_rows), "fp").collect()
+    prints = scratch.write(minhash.sketches(docs, ("doc_id",)))
+    got = prints.join(minhash.classes(docs, prints, scratch, "doc_id", bucket), "fp").collect()
     lowest = {r["root"]: min(x["doc_id"] for x in got if x["root"] == r["root"]) for r in got}
     assert [lowest[r["root"]] for r in sorted(got, key=lambda r: r["doc_id"])] == root
 
 
+def test_equal_groups_are_compared_once(spark, documents):
+    long = " ".join(f"w{i}" for i in range(300))
+    docs = documents([long, long + " more", long, " ".join(f"v{i}" for i in range(90000)), long + " other"])
+    scratch = Scratch(spark, "test")
+    prints = scratch.write(minhash.sketches(docs, ("doc_id",)))
+    members = minhash.groups(prints, scratch).collect()
+    per_group = collections.Counter(r["group"] for r in members)
+    held = {g: frozenset(r["fp"] for r in members if r["group"] == g) for g in per_group}
+    assert len(set(held.values())) == len(held) and len(members) <= 9
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 3]
+
+
 def test_simhash_of_nothing(spark, documents):
     assert simhash.near_duplicates(documents(["x"]).where("false")).count() == 0
     assert simhash.one_of_each(documents(["x"]).where("false")).count() == 0
