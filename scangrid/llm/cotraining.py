@@ -30,6 +30,8 @@ from .toxicity import held_out
 
 LABELLED, POOL, ROUNDS, CONFIDENT, EXCHANGED = 3000, 2000, 3, 0.95, 200
 THRESHOLD = 0.5
+#: A filtering stage drops a document only if bad is at least twice as likely as good.
+REJECTED_BELOW = 1 / 3
 META_DIMS = 64
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"|#$%&*!")] = True
@@ -176,7 +178,7 @@ def scored(docs: DataFrame, labels: DataFrame, carry: str) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, threshold=THRESHOLD) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, threshold=REJECTED_BELOW) -> DataFrame:
     """Rows of ``docs`` that the combined score does not reject."""
     return scored(docs, labels, "doc").where(F.col("score") >= threshold).select("doc.*")
 
