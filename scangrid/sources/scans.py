@@ -47,51 +47,130 @@ def decode_sweep(content: bytes) -> dict:
 
 
 # PLY and PCD name their number types differently; both map to numpy codes.
-NUMPY_TYPES = {"float": "<f4", "float32": "<f4", "double": "<f8", "float64": "<f8",
-               "uchar": "u1", "uint8": "u1", "char": "i1", "int8": "i1", "ushort": "<u2",
-               "uint16": "<u2", "short": "<i2", "int16": "<i2", "uint": "<u4",
-               "uint32": "<u4", "int": "<i4", "int32": "<i4"}
-
-
-def _table(body, names, types, rows, ascii_):
-    if ascii_:
-        data = np.loadtxt(io.BytesIO(body), ndmin=2, max_rows=rows)
-        table = {n: data[:, i] for i, n in enumerate(names)}
-    else:
-        data = np.frombuffer(body, dtype=np.dtype(list(zip(names, types))), count=rows)
-        table = {n: data[n] for n in names}
-    zero = np.zeros(rows, "f4")
+NUMPY_TYPES = {"float": "f4", "float32": "f4", "double": "f8", "float64": "f8",
+               "uchar": "u1", "uint8": "u1", "char": "i1", "int8": "i1", "ushort": "u2",
+               "uint16": "u2", "short": "i2", "int16": "i2", "uint": "u4",
+               "uint32": "u4", "int": "i4", "int32": "i4"}
+
+
+def _columns(table: dict, rows: int) -> dict:
+    """Coordinates and intensity (zero where there is none) out of all fields."""
+    missing = [d for d in "xyz" if d not in table]
+    if missing:
+        raise ValueError(f"no field {missing[0]}")
+    if any(len(table[d]) != rows for d in "xyz"):
+        raise ValueError("fewer points than announced")
     return {**{d: table[d].astype("f4").astype("f8") for d in "xyz"},
-            "intensity": table.get("intensity", zero).astype("f4")}
+            "intensity": table.get("intensity", np.zeros(rows, "f4")).astype("f4")}
+
+
+def _numbers(lines, names):
+    data = np.array([line.split()[:len(names)] for line in lines], "f8").reshape(-1, len(names))
+    return {n: data[:, i] for i, n in enumerate(names)}
+
+
+def _ply_header(head: bytes):
+    """Format and elements ``(name, count, properties)``; a list property has two types."""
+    kind, elements = None, []
+    for words in (line.split() for line in head.decode("ascii").splitlines()):
+        if words[:1] == ["format"]:
+            kind = words[1]
+        elif words[:1] == ["element"]:
+            elements.append((words[1], int(words[2]), []))
+        elif words[:1] == ["property"]:
+            types = words[2:4] if words[1] == "list" else words[1:2]
+            elements[-1][2].append((words[-1], [NUMPY_TYPES[t] for t in types]))
+    return kind, elements
+
+
+def _skip_rows(body: bytes, at: int, count: int, properties, order: str) -> int:
+    """Place behind ``count`` binary rows whose properties may be lists."""
+    fixed = sum(np.dtype(t[0]).itemsize for _, t in properties if len(t) == 1)
+    if all(len(t) == 1 for _, t in properties):
+        return at + count * fixed
+    for _ in range(count):
+        for _, types in properties:
+            if len(types) == 2:
+                size = np.dtype(types[0]).itemsize
+                length = int(np.frombuffer(body, order + types[0], 1, at)[0])
+                at += size + length * np.dtype(types[1]).itemsize
+            else:
+                at += np.dtype(types[0]).itemsize
+    return at
 
 
 def decode_ply(content: bytes) -> dict:
-    head, body = content.split(b"end_header\n", 1)
-    lines = [line.split() for line in head.decode("ascii").splitlines()]
-    kind = next(w[1] for w in lines if w and w[0] == "format")
-    if kind not in ("ascii", "binary_little_endian"):
+    head, mark, body = content.partition(b"end_header")
+    kind, elements = _ply_header(head)
+    body = body[body.index(b"\n") + 1:] if mark else b""
+    order = {"ascii": "", "binary_little_endian": "<", "binary_big_endian": ">"}.get(kind)
+    if order is None or not mark:
         raise ValueError(f"unsupported PLY format {kind}")
-    rows, props, element = 0, [], None
-    for words in lines:
-        if words[:1] == ["element"]:
-            element = words[1]
-            if element == "vertex":
-                rows = int(words[2])
-        elif words[:1] == ["property"] and element == "vertex":
-            props.append((words[2], NUMPY_TYPES[words[1]]))
-    return _table(body, [p[0] for p in props], [p[1] for p in props], rows, kind == "ascii")
+    at, lines = 0, body.splitlines() if kind == "ascii" else None
+    for name, count, properties in elements:
+        if name != "vertex":
+            at = at + count if lines is not None else _skip_rows(body, at, count, properties, order)
+            continue
+        if any(len(t) == 2 for _, t in properties):
+            raise ValueError("vertices with lists are not supported")
+        names = [n for n, _ in properties]
+        if lines is not None:
+            return _columns(_numbers(lines[at:at + count], names), count)
+        data = np.frombuffer(body, np.dtype([(n, order + t[0]) for n, t in properties]), count, at)
+        return _columns({n: data[n] for n in names}, count)
+    raise ValueError("no vertices")
+
+
+def lzf_decompress(data: bytes, size: int) -> bytes:
+    """The LZF stream of compressed point files: literal runs and references back."""
+    out, at = bytearray(), 0
+    while at < len(data):
+        control = data[at]
+        at += 1
+        if control < 32:
+            out += data[at:at + control + 1]
+            at += control + 1
+            continue
+        length = control >> 5
+        if length == 7:
+            length += data[at]
+            at += 1
+        start = len(out) - ((control & 31) << 8 | data[at]) - 1
+        at += 1
+        if start < 0:
+            raise ValueError("compressed data refers to nothing")
+        for k in range(length + 2):  # a reference may run into what it writes
+            out.append(out[start + k])
+    if len(out) != size:
+        raise ValueError("compressed data has another length than announced")
+    return bytes(out)
 
 
 def decode_pcd(content: bytes) -> dict:
-    head, mark, rest = content.partition(b"\nDATA ")
+    head, _, rest = content.partition(b"\nDATA ")
     kind, _, body = rest.partition(b"\n")
     fields = {w[0]: w[1:] for w in (line.split() for line in head.decode("ascii").splitlines()) if w}
-    kind = kind.strip().decode()
-    if kind not in ("ascii", "binary"):
-        raise ValueError(f"unsupported PCD data {kind}")
+    kind, rows, names = kind.strip().decode(), int(fields["POINTS"][0]), fields["FIELDS"]
+    counts = [int(c) for c in fields.get("COUNT", ["1"] * len(names))]
     code = {"F": "f", "U": "u", "I": "i"}
     types = [f"<{code[t]}{s}" for t, s in zip(fields["TYPE"], fields["SIZE"])]
-    return _table(body, fields["FIELDS"], types, int(fields["POINTS"][0]), kind == "ascii")
+    # A field of several values takes as many places; only the first one is named.
+    if kind == "ascii":
+        wide = [n if k == 0 else f"{n}/{k}" for n, c in zip(names, counts) for k in range(c)]
+        lines = [line for line in body.splitlines() if line.strip()]
+        return _columns(_numbers(lines[:rows], wide), rows)
+    if kind == "binary":
+        # Padding fields share a name, so places are numbered.
+        data = np.frombuffer(body, np.dtype([(str(i), t, (c,)) for i, (t, c) in enumerate(zip(types, counts))]), rows)
+        return _columns({n: data[str(i)][:, 0] for i, n in enumerate(names)}, rows)
+    if kind != "binary_compressed":
+        raise ValueError(f"unsupported PCD data {kind}")
+    packed, plain = (int(x) for x in np.frombuffer(body, "<u4", 2))
+    data, at, table = lzf_decompress(body[8:8 + packed], plain), 0, {}
+    for name, kind, count in zip(names, types, counts):  # all values of a field lie together
+        table[name] = np.frombuffer(data, kind, rows * count, at).reshape(rows, count)[:, 0]
+        at += rows * count * np.dtype(kind).itemsize
+    return _columns(table, rows)
 
 
 DECODERS = {"bin": decode_sweep, "ply": decode_ply, "pcd": decode_pcd}
@@ -137,33 +216,15 @@ def archive_members(files: DataFrame) -> DataFrame:
         run, "path string, member string, expanded_bytes long, is_link boolean")
 
 
-def archive_files(files: DataFrame) -> DataFrame:
-    """Supported members of zip files as (archive, name, content) rows, one at a time."""
-    def run(batches):
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                with zipfile.ZipFile(io.BytesIO(row.content)) as z:
-                    for name in z.namelist():
-                        if name.rsplit(".", 1)[-1].lower() in DECODERS:
-                            yield pd.DataFrame({"archive": [row.path], "name": [name],
-                                                "content": [z.read(name)]})
-    return files.select("path", "content").mapInPandas(
-        run, "archive string, name string, content binary")
-
-
 def scan_archive(spark: SparkSession, path: str, limit=None):
-    """(points, quarantine): points of safe archives in natural frame order; findings of others."""
-    from ..operators.checks import archive_findings
-    from ..operators.selection import number_frames
-    files = binary_files(spark, path, "*.zip")
-    quarantine = archive_findings(archive_members(files))
-    safe = files.join(quarantine.select("path").distinct(), "path", "left_anti")
-    # Names are numbered without their contents.
-    contents = archive_files(safe)
-    numbered = number_frames(contents.select("archive", "name"), ["archive"], limit=limit)
-    frames = contents.join(numbered, ["archive", "name"]).select(
-        F.col("name").alias("path"), F.col("archive").alias("sequence"), "frame_id", "content")
-    return scan_points(frames), quarantine
+    """(points, quarantine): points of archives' members in natural frame order, and findings.
+
+    Archives that break a safety rule and members that cannot be decoded are findings.
+    """
+    from .sweeps import read_sweeps
+    rows = read_sweeps(spark, path).where(F.lower("path").endswith(".zip"))
+    points = rows.where("finding is null" if limit is None else f"finding is null and frame_id < {int(limit)}")
+    return points.select(*POINT_SCHEMA.names), rows.where("finding is not null").select("path", "member", "finding")
 
 
 def scan_poses(spark: SparkSession, path: str) -> DataFrame:
