@@ -42,14 +42,27 @@ def test_quality_of_odd_rows(spark, documents, corpus):
     assert cotraining.good_documents(docs, labels.where("false")).count() == 38
 
 
-def test_toxicity_on_held_out_rows(spark, corpus):
-    docs, labels = corpus
+def test_toxicity_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.scored(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.doc_id]).all()
     got = got[got.held_out]
     assert (got.predicted == got.toxic).mean() > 0.95
     assert (got[got.toxic == 0].predicted == 0).mean() > 0.98
-    assert (got[got.toxic == 1].predicted == 1).mean() > 0.5
+    assert (got[got.toxic == 1].predicted == 1).mean() > 0.6
+
+
+def test_short_segments_save_bytes():
+    """Every place of the dictionary is found, so five bytes of a segment already tell."""
+    filler = b" ".join(b"w%05d" % (i * 7919 % 99991) for i in range(3000))
+    segments = [b" scum", b" vequ", b" idiot", b" worthless"]
+    distance = toxicity.Distance(filler, segments)
+    for word in ("scum", "vequance", "idiot", "worthless"):
+        text = f"qzj kxw {word} pfg"
+        saved, *counts, size = distance(text)
+        plain, both = (len(c.compress(b" " + text.encode() + b" ")) for c in (distance.plain, distance.both))
+        assert saved == plain - both >= 1 and size == 0
+    assert distance("qzj kxw pfg mnb")[0] <= 0
 
 
 def test_toxicity_of_odd_rows(spark, documents):
