@@ -53,16 +53,16 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_short_segments_save_bytes():
-    """Every place of the dictionary is found, so five bytes of a segment already tell."""
+    """Every place of the dictionary is found; beside another match five bytes already tell."""
     filler = b" ".join(b"w%05d" % (i * 7919 % 99991) for i in range(3000))
     segments = [b" scum", b" vequ", b" idiot", b" worthless"]
     distance = toxicity.Distance(filler, segments)
-    for word in ("scum", "vequance", "idiot", "worthless"):
-        text = f"qzj kxw {word} pfg"
+    for words in ("scum kxw vequance", "scum kxw idiot", "worthless"):
+        text = f"w07919 {words} pfg"
         saved, *counts, size = distance(text)
         plain, both = (len(c.compress(b" " + text.encode() + b" ")) for c in (distance.plain, distance.both))
         assert saved == plain - both >= 1 and size == 0
-    assert distance("qzj kxw pfg mnb")[0] <= 0
+    assert distance("w07919 kxw pfg mnb")[0] <= 0
 
 
 def test_toxicity_of_odd_rows(spark, documents):
