@@ -13,7 +13,7 @@ from .registry import register
  select policy, count(*) as n, round(avg(latency_ms), 6) as mean, round(quantile_cont(latency_ms, 0.5), 6) as p50,
   round(quantile_cont(latency_ms, 0.95), 6) as p95, round(quantile_cont(latency_ms, 0.99), 6) as p99 from frame_stats group by 1"""))
 def latency_distribution(spark, sf):
-    d = M.distribution(V.frame_stats(spark, sf), ["policy"], "latency_ms", 1.0)
+    d = M.distribution(V.frame_stats(spark, sf), ["policy"], "latency_ms")
     return d.select("policy", "n", *[r(c, 6) for c in ("mean", "p50", "p95", "p99")])
 
 
@@ -21,7 +21,7 @@ def latency_distribution(spark, sf):
  select sequence, frame_id, count(*) as n, round(avg(z), 6) as mean, round(quantile_cont(z, 0.5), 6) as p50,
   round(quantile_cont(z, 0.95), 6) as p95, round(quantile_cont(z, 0.99), 6) as p99 from points group by 1, 2"""))
 def height_percentiles_per_frame(spark, sf):
-    d = M.distribution(V.points(spark, sf), K, "z", 0.01)
+    d = M.distribution(V.points(spark, sf), K, "z")
     return d.select(*K, "n", *[r(c, 6) for c in ("mean", "p50", "p95", "p99")])
 
 

@@ -1,7 +1,7 @@
 """Segmentation losses used as evaluation metrics on prediction tables."""
 from pyspark.sql import DataFrame, functions as F
 
-from .scale import prefix_sums
+from .scale import even_ranges, prefix_sums
 
 
 def class_weights(preds: DataFrame, by=(), gamma=2.0, scale=2.0, delta=1.02) -> DataFrame:
@@ -33,7 +33,7 @@ def ace_loss(preds: DataFrame, by=(), probs="probs") -> DataFrame:
 def lovasz_softmax(preds: DataFrame, by=(), probs="probs") -> DataFrame:
     """Lovasz extension of the Jaccard loss, averaged over the classes present.
 
-    Errors are sorted per class in 4096 ranges with prefix sums. Rows with the same
+    Errors are sorted per class in ranges of like size with prefix sums. Rows with the same
     error are counted together first: their joint contribution does not depend on
     their order, and a huge tie cannot form a hot range.
     """
@@ -45,8 +45,8 @@ def lovasz_softmax(preds: DataFrame, by=(), probs="probs") -> DataFrame:
     rows = preds.where("truth < 4").select(*by, per_class.alias("e")).select(*by, "e.*")
     ties = rows.groupBy(*by, "cls", "err").agg(
         F.sum("fg").alias("fg"), F.sum(1 - F.col("fg")).alias("bg"))
-    run = prefix_sums(ties, [*by, "cls"], [F.desc("err")],
-                      -F.floor(F.col("err") * 4096), {"cum_fg": F.col("fg"), "cum_bg": F.col("bg")},
+    ties = even_ranges(ties, [*by, "cls"], "err")
+    run = prefix_sums(ties, [*by, "cls"], [F.desc("err")], -F.col("_range"), {"cum_fg": F.col("fg"), "cum_bg": F.col("bg")},
                       totals=True)
     total = F.col("cum_fg_total")
 

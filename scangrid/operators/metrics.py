@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.geom import as_col
 from ..functions.semantics import clip_pred
-from .scale import exact_percentiles
+from .scale import exact_percentiles, null_safe_join
 
 
 def confusion(df: DataFrame, by=(), truth="truth", pred="pred", weight=None) -> DataFrame:
@@ -64,25 +64,28 @@ def scores(counts: DataFrame, by=(), unknown_column=True) -> DataFrame:
         total.alias("labelled"))
 
 
-def distribution(df: DataFrame, by, value, width) -> DataFrame:
-    """Count, mean and exact p50/p95/p99 of the finite values per group."""
+def distribution(df: DataFrame, by, value) -> DataFrame:
+    """Count, mean and exact p50/p95/p99 of the finite values per group.
+
+    A group without finite values has a count of zero and no figures.
+    """
     from ..functions.geom import is_finite
     value = as_col(value)
-    base = df.where(is_finite(value)).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"))
-    tails = exact_percentiles(df, by, value, (0.5, 0.95, 0.99), width)
+    known = F.when(is_finite(value), value)
+    base = df.groupBy(*by).agg(F.count(known).alias("n"), F.avg(known).alias("mean"))
+    tails = exact_percentiles(df, by, value, (0.5, 0.95, 0.99))
     if not by:
-        return base.join(tails, how="cross")  # two single rows
-    return base.join(tails, list(by))
+        return base.join(tails, how="left")  # single rows
+    return null_safe_join(base, tails, by, "left")
 
 
-def error_stats(df: DataFrame, by, error, width, prefix="") -> DataFrame:
+def error_stats(df: DataFrame, by, error, prefix="") -> DataFrame:
     """Mean absolute error, root mean square error and exact p95 of the absolute error."""
     e = as_col(error)
     base = df.where(e.isNotNull()).groupBy(*by).agg(
         F.avg(F.abs(e)).alias(f"{prefix}mae"), F.sqrt(F.avg(e * e)).alias(f"{prefix}rmse"))
-    tail = exact_percentiles(df, by, F.abs(e), (0.95,), width, names=[f"{prefix}p95"])
-    return base.join(tail, list(by))
+    tail = exact_percentiles(df, by, F.abs(e), (0.95,), names=[f"{prefix}p95"])
+    return null_safe_join(base, tail, by)
 
 
 def class_share(df: DataFrame, by, cls="pred", conf="conf") -> DataFrame:

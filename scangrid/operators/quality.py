@@ -36,7 +36,7 @@ def common_confusion(cells, by=BY) -> DataFrame:
                        "fine_truth", "dominant_class").withColumnRenamed("fine_band", "band")
 
 
-def elevation_errors(cells, by=BY, width=0.01) -> DataFrame:
+def elevation_errors(cells, by=BY) -> DataFrame:
     """Leaf height minus 5 cm cell height: mean, lowest and highest return."""
     rows = with_bands(cells).where("fine_band is not null").withColumnRenamed("fine_band", "band")
     by = [*by, "band"]
@@ -44,7 +44,7 @@ def elevation_errors(cells, by=BY, width=0.01) -> DataFrame:
         ("mean", F.col("mean_z") - F.col("fine_mean_z")),
         ("min", F.col("min_z") - F.col("fine_min_z")),
         ("max", F.col("max_z") - F.col("fine_max_z")))])
-    return M.error_stats(rows.select(*by, F.inline(kinds)), [*by, "statistic"], "error", width)
+    return M.error_stats(rows.select(*by, F.inline(kinds)), [*by, "statistic"], "error")
 
 
 def obstacle_iou(cells, by=BY) -> DataFrame:
@@ -87,7 +87,7 @@ def complexity_sizes(cells, by=BY) -> DataFrame:
         F.avg(F.when(~F.col("fine_complex"), F.col("size"))).alias("simple_mean_cell_m"))
 
 
-def boundary_distance(points, cells, by=BY, keys=FRAME_KEYS, width=0.001) -> DataFrame:
+def boundary_distance(points, cells, by=BY, keys=FRAME_KEYS) -> DataFrame:
     """Distance to the nearest leaf edge of points in leaves holding several true classes."""
     keys = list(keys)
     mixed = cells.where("truth_kinds > 1").select(
@@ -96,7 +96,7 @@ def boundary_distance(points, cells, by=BY, keys=FRAME_KEYS, width=0.001) -> Dat
                                               G.cell_index("y").alias("iy"))
             .join(mixed, [*keys, "ix", "iy"])
             .withColumn("edge", G.edge_distance("x", "y", "ox", "oy", "size")))
-    return M.error_stats(rows, by, "edge", width, prefix="boundary_")
+    return M.error_stats(rows, by, "edge", prefix="boundary_")
 
 
 def retention(points, by=FRAME_KEYS) -> DataFrame:

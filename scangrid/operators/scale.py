@@ -85,12 +85,43 @@ def first_n(df: DataFrame, keys, order, bucket: Column, n, name="rank") -> DataF
     return out.where(F.col(name) < n).drop("_bucket", "_base")
 
 
-def exact_percentiles(df: DataFrame, keys, value, probs, width, names=None,
+def null_safe_join(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+    """Join on keys of which nulls equal each other; the keys come from ``left``."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                         *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
+
+
+#: Ranges of a group, and the accuracy of the splitters: no range holds more than about
+#: 1/RANGES + 2/ACCURACY of the group's rows, unless they are equal.
+RANGES, ACCURACY = 128, 2000
+
+
+def even_ranges(df: DataFrame, keys, value: str, name="_range", ranges=RANGES) -> DataFrame:
+    """Add the number of a value range of the row's group; ranges hold like numbers of rows.
+
+    The splitters are approximate quantiles, a bounded sketch per group that tasks merge.
+    A range's number does not decrease with the value.
+    """
+    keys = list(keys)
+    at = [i / ranges for i in range(1, ranges)]
+    splits = df.groupBy(*keys).agg(F.percentile_approx(value, at, ACCURACY).alias("_splits"))
+    below = F.size(F.filter("_splits", lambda s: s < F.col(value)))
+    return null_safe_join(df, splits, keys).withColumn(name, F.coalesce(below, F.lit(0))).drop("_splits")
+
+
+def exact_percentiles(df: DataFrame, keys, value, probs, width=None, names=None,
                       count_name=None) -> DataFrame:
     """Exact linearly interpolated percentiles per key, without holding a group.
 
-    Equal values are counted first, the counts are summed in ranges of ``width``,
-    and only the ranges holding a wanted position are sorted.
+    Equal values are counted first, the counts are summed in value ranges, and only the
+    ranges holding a wanted position are sorted. Ranges hold about as many distinct values
+    each, whatever their distribution; a caller who knows that values are spread out may
+    give a ``width`` instead, which saves the splitters. Groups without a finite value
+    have no row.
     """
     keys = list(keys)
     names = names or [f"p{round(p * 100)}" for p in probs]
@@ -98,8 +129,11 @@ def exact_percentiles(df: DataFrame, keys, value, probs, width, names=None,
     by = keys or ["_all"]
     value = F.col(value) if isinstance(value, str) else value
     counted = (source.select(*by, value.cast("double").alias("_v")).where(is_finite("_v"))
-               .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
-               .withColumn("_bin", F.floor(F.col("_v") / width)))
+               .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    if width is None:
+        counted = even_ranges(counted, by, "_v", "_bin")
+    else:
+        counted = counted.withColumn("_bin", F.floor(F.col("_v") / width))
     bins = counted.groupBy(*by, "_bin").agg(F.sum("_c").alias("_n"))
     across = W.partitionBy(*by).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bins = bins.select(*by, "_bin", "_n",
@@ -115,7 +149,7 @@ def exact_percentiles(df: DataFrame, keys, value, probs, width, names=None,
             wanted = wanted | ((rank >= F.col("_base")) & (rank < F.col("_base") + F.col("_n")))
     chosen = bins.where(wanted).drop("_n")
     within = (W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, 0))
-    ordered = (counted.join(chosen, [*by, "_bin"])
+    ordered = (null_safe_join(counted, chosen, [*by, "_bin"])
                .withColumn("_end", F.col("_base") + F.sum("_c").over(within))
                .withColumn("_start", F.col("_end") - F.col("_c")))
     aggs = [F.max("_total").alias("_total")]

@@ -95,3 +95,38 @@ def test_profile_choice_protects_near_recall(spark):
     df = spark.createDataFrame(rows, "profile string, miou double, fps double, near_recall_0 double,"
                                "near_recall_1 double, near_recall_2 double, near_recall_3 double")
     assert metrics.recommend_profile(df).first().recommended == "foveated"
+
+
+def test_percentiles_do_not_depend_on_the_distribution(spark):
+    """Nearly all distinct values lie within a millionth of the range."""
+    rng = np.random.default_rng(6)
+    crowd = 5 + rng.uniform(0, 1e-3, 20000)
+    rows = [("a", float(v)) for v in [*crowd, *rng.uniform(-1e3, 1e3, 200)]]
+    rows += [(None, float(v)) for v in range(101)] + [("none", float("nan")), ("none", None), ("one", 7.0)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: r for r in metrics.distribution(df, ["k"], "v").collect()}
+    for k in ("a", None, "one"):
+        own = [v for key, v in rows if key == k]
+        want = np.quantile(own, (.5, .95, .99))
+        assert np.allclose((got[k].p50, got[k].p95, got[k].p99), want, rtol=0, atol=1e-12) and got[k].n == len(own)
+    assert (got["none"].n, got["none"].mean, got["none"].p50) == (0, None, None)
+    ranged = scale.even_ranges(df.where("k = 'a'").distinct(), ["k"], "v").groupBy("_range").count().collect()
+    assert len(ranged) > 100 and max(r["count"] for r in ranged) < 2.5 * 20200 / scale.RANGES
+
+
+def test_lovasz_with_errors_far_below_a_range(spark):
+    rng = np.random.default_rng(9)
+    p = rng.uniform(0, 1e-6, 500)
+    truth = rng.integers(0, 2, 500)
+    rows = [(int(t), [1 - a, a, 0.0, 0.0] if t == 0 else [a, 1 - a, 0.0, 0.0]) for t, a in zip(truth, p.tolist())]
+    got = losses.lovasz_softmax(spark.createDataFrame(rows, "truth int, probs array<double>")).first().lovasz
+    total = []
+    for c in (0, 1):
+        fg = truth == c
+        err = np.where(fg, p, p)
+        order = np.argsort(-err, kind="stable")
+        f = fg[order].astype(float)
+        jac = 1 - (f.sum() - f.cumsum()) / (f.sum() + (1 - f).cumsum())
+        jac[1:] -= jac[:-1].copy()
+        total.append((err[order] * jac).sum())
+    assert abs(got - np.mean(total)) < 1e-12
