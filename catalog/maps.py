@@ -114,7 +114,7 @@ def leaf_storage(spark, sf):
     return out.select("policy", "cells", "bytes", r("mib"), r("reduction_pct"))
 
 
-@register("refinement_count", grid_sql("""
+REFINED_SQL = """
  select n.sequence, n.frame_id, n.policy, count(*) filter (where split and (units = 10
    or (units = 2 and parent_split and tenth) or (units = 5 and parent_split and not tenth))) as refined_nodes
  from (select a.sequence, a.frame_id, a.policy, a.units, a.split, b.split as parent_split,
@@ -123,7 +123,10 @@ def leaf_storage(spark, sf):
    select sequence, frame_id, policy, 5, lx, ly, cast(floor(lx/2.0) as bigint), cast(floor(ly/2.0) as bigint), split from node5 union all
    select sequence, frame_id, policy, 2, lx, ly, cast(floor(lx/5.0) as bigint), cast(floor(ly/5.0) as bigint), split from node2) a
   join node10 b on a.sequence=b.sequence and a.frame_id=b.frame_id and a.policy=b.policy and a.bx=b.lx and a.by_=b.ly) n
- where policy <> 'uniform' group by 1, 2, 3"""))
+ where policy <> 'uniform' group by 1, 2, 3"""
+
+
+@register("refinement_count", grid_sql(REFINED_SQL))
 def refinement_count(spark, sf):
     return grid.refinement_count(cells(spark, sf, POLICIES[1:]), [*K, "policy"])
 

@@ -23,9 +23,7 @@ def dense_confusion(counts: DataFrame, by=()) -> DataFrame:
 
 
 def _wide(counts: DataFrame, by) -> DataFrame:
-    cols = [F.sum(F.when((F.col("truth") == t) & (F.col("pred") == p), F.col("n")).otherwise(0))
-            .alias(f"c{t}{p}") for t in range(4) for p in range(5)]
-    return counts.groupBy(*by).agg(*cols)
+    return counts.groupBy(*by).agg(*wide_sums())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -44,6 +42,17 @@ def scores(counts: DataFrame, by=(), unknown_column=True) -> DataFrame:
 
     With ``unknown_column`` off, predictions outside the four classes are ignored.
     """
+    return wide_scores(_wide(counts, by), by, unknown_column)
+
+
+def wide_sums() -> list[Column]:
+    """The 20 sums of a confusion matrix, from ``truth``, ``pred`` and ``n``."""
+    return [F.sum(F.when((F.col("truth") == t) & (F.col("pred") == p), F.col("n")).otherwise(0))
+            .alias(f"c{t}{p}") for t in range(4) for p in range(5)]
+
+
+def wide_scores(wide: DataFrame, by, unknown_column=True) -> DataFrame:
+    """Scores of matrices that lie in the columns c00 .. c34."""
     width = 5 if unknown_column else 4
     c = [[F.col(f"c{t}{p}") for p in range(width)] for t in range(4)]
     rows = [sum(c[t][1:], c[t][0]) for t in range(4)]
@@ -59,7 +68,7 @@ def scores(counts: DataFrame, by=(), unknown_column=True) -> DataFrame:
         out += [iou.alias(f"iou_{k}"), p.alias(f"precision_{k}"), r.alias(f"recall_{k}"),
                 f1.alias(f"f1_{k}")]
     right = sum(diag[1:], diag[0])
-    return _wide(counts, by).select(
+    return wide.select(
         *by, *out, ratio(right, total).alias("accuracy"), mean_known(ious).alias("miou"),
         total.alias("labelled"))
 
