@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from . import minhash
+from .minhash import SMALL_ROWS
 from .common import Scratch, components, spanning_links, table, word_blocks
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -155,13 +156,26 @@ def one_of_each(docs: DataFrame) -> DataFrame:
               .agg((F.count(F.lit(1)) > 1).alias("_many")))
     same = [F.col("l._row") == F.col("r._row"), F.col("l._id").eqNullSafe(F.col("r._id"))]
     keep = scratch.write(keep.alias("l").join(copies.alias("r"), same).select("l._id", "l._row", "_many"))
-    scratch.drop_others(keep)
-    kept = marked.alias("d").join(
-        keep.alias("k"), [F.col("d._row") == F.col("k._row"),
-                          F.col("d.doc_id").eqNullSafe(F.col("k._id"))]).select("d.doc", "d.doc_id", "d._row", "_many")
-    single = kept.where("not _many")
-    many = kept.where("_many").dropDuplicates(["_row", "doc_id"])
-    return single.unionByName(many).select("doc.*")
+
+    def among(left, right, how):
+        """Rows whose id and hash are in ``right(_id, _row)``, or are not."""
+        return left.alias("d").join(right.alias("k"), [
+            F.col("d._row") == F.col("k._row"), F.col("d.doc_id").eqNullSafe(F.col("k._id"))], how)
+    gone = scratch.write(among(prints.select("doc_id", "_row").distinct(), keep, "left_anti")
+                         .select(F.col("doc_id").alias("_id"), "_row"))
+    twice = keep.where("_many")
+    if gone.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS and twice.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        # Few rows go: every task knows them, and documents stay where they are.
+        kept = among(marked, F.broadcast(gone), "left_anti")
+        single = among(kept, F.broadcast(twice), "left_anti")
+        many = among(kept, F.broadcast(twice), "left_semi")
+        scratch.drop_others(keep, gone)
+    else:
+        kept = among(marked, keep, "inner")
+        single, many = (kept.where(c).select("d.doc", "d.doc_id", "d._row") for c in ("not _many", "_many"))
+        scratch.drop_others(keep)
+    many = many.dropDuplicates(["_row", "doc_id"])
+    return single.select("doc.*").unionByName(many.select("doc.*"))
 
 
 def op7_simhash(spark, sf_dir) -> DataFrame:

@@ -69,12 +69,18 @@ def test_covering_masks_meet_all_pairs():
             assert any(not (m % (1 << 64)) & flips for m in simhash.masks())
 
 
-def test_one_of_each_keeps_rows_whole(spark, documents):
+@pytest.mark.parametrize("small", [500_000, -1])
+def test_one_of_each_keeps_rows_whole(spark, documents, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_ROWS", small)
+    monkeypatch.setattr(minhash, "SMALL_ROWS", small)
     texts = ["a b c d e f", "a b c d e f", None, "", "other text of its own here", "a b c d e f"]
     kept = simhash.one_of_each(documents(texts, ids=[5, 3, 7, None, 9, 3]))
     assert kept.columns == documents(texts).columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [
         (3, "a b c d e f"), (7, None), (9, "other text of its own here")]
+    near = " ".join(f"w{i}" for i in range(60))
+    kept = simhash.one_of_each(documents([near, near + " end", "x", near, near], ids=[4, 2, 6, 2, 2]))
+    assert sorted((r["doc_id"], r["text"][:2]) for r in kept.collect()) == [(2, "w0"), (6, "x")]
 
 
 @pytest.mark.parametrize("bucket", [minhash.BUCKET_SHINGLES, 500])
