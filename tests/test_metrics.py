@@ -130,3 +130,27 @@ def test_lovasz_with_errors_far_below_a_range(spark):
         jac[1:] -= jac[:-1].copy()
         total.append((err[order] * jac).sum())
     assert abs(got - np.mean(total)) < 1e-12
+
+
+def test_report_cube_sums_before_it_scores(spark):
+    """Two frames of unlike size: a level's score comes from the summed confusion."""
+    from scangrid.operators import reports
+    rows = [(0, 0, "uniform", 1, 0, 0, 90), (0, 0, "uniform", 1, 1, 0, 10), (0, 1, "uniform", 1, 0, 1, 1),
+            (0, 1, "uniform", 1, 1, 1, 1), (0, 0, "adaptive", 1, 0, 0, 100), (0, 1, "adaptive", 2, 1, 0, 5)]
+    counts = spark.createDataFrame(rows, "sequence long, frame_id long, policy string, band int, truth int, pred int, n long")
+    strata = spark.createDataFrame([(0, 0, "mixed-road"), (0, 1, None)], "sequence long, frame_id long, scene_stratum string")
+    cube = reports.report_cube(counts, strata)
+    got = {(r.policy, r.band): r for r in cube.where("level = 'band'").collect()}
+    assert got["uniform", 1].labelled == 102 and abs(got["uniform", 1].miou - (90 / 101 + 1 / 12) / 2) < 1e-12
+    assert got["uniform", 1].frame_id is None and got["adaptive", 2].miou == 0
+    strata_rows = {(r.policy, r.scene_stratum): r.labelled for r in cube.where("level = 'stratum'").collect()}
+    assert strata_rows == {("uniform", "mixed-road"): 100, ("uniform", None): 2, ("adaptive", "mixed-road"): 100,
+                           ("adaptive", None): 5}
+    per_frame = [r.miou for r in cube.where("level = 'frame' and policy = 'uniform'").collect()]
+    own = spark.createDataFrame([], "sequence long, frame_id long, policy string, fine_truth int, dominant_class int, "
+                                    "ix int, iy int, x double, y double, size double, min_z double, max_z double")
+    bands = {(r.policy, r.band): r for r in reports.band_report(cube, own).collect()}
+    assert abs(bands["uniform", 1].spread - np.std(per_frame)) < 1e-12 and bands["uniform", 1].frames == 2
+    delta = {(r.time_interval, r.band): r.delta_miou for r in reports.interval_report(cube).collect()}
+    assert abs(delta[0, 1] - (1 - got["uniform", 1].miou)) < 1e-12 and delta[0, 2] is None
+    assert sorted(r.frames for r in reports.stratum_report(cube, strata).collect()) == [1, 1, 1, 1]

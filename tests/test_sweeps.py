@@ -87,3 +87,14 @@ def test_nothing_to_read(spark, tmp_path):
     assert sweeps.read_sweeps(spark, str(tmp_path)).collect() == []
     (tmp_path / "b.zip").write_bytes(io.BytesIO(b"").getvalue())
     assert [r.finding[:15] for r in sweeps.read_sweeps(spark, str(tmp_path)).collect()] == ["broken archive:"]
+
+
+def test_archive_rules_as_a_query(spark, tmp_path):
+    from scangrid.operators import checks
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("1.bin", b"x" * 16)
+        z.writestr("../2.bin", b"y")
+    members = scans.archive_members(scans.binary_files(spark, str(tmp_path), "*.zip"))
+    assert {(r.member, r.expanded_bytes, r.is_link) for r in members.collect()} == {
+        ("1.bin", 16, False), ("../2.bin", 1, False)}
+    assert [r.finding for r in checks.archive_findings(members).collect()] == ["unsafe member path"]
