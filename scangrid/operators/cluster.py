@@ -13,28 +13,55 @@ def first_of_voxel(points: DataFrame, keys, size, dims=XYZ) -> DataFrame:
         F.min("point_id").alias("point_id"), *cols)
 
 
+def contract(edges: DataFrame, turn=0):
+    """One round over ``edges(a, b)``: ``(pointers(node, to), fewer edges)``.
+
+    Every node points at that of itself and its neighbours which comes first in an order
+    shuffled anew each ``turn``, then at what that one points at. Edges are moved to where
+    their ends point; edges inside one place go, equal ones become one.
+    """
+    def order(node):
+        return F.xxhash64(F.col(node), F.lit(turn))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy(F.col("a").alias("node")).agg(
+        F.min_by("b", order("b")).alias("_near"), F.min(order("b")).alias("_order")).select(
+        "node", F.when(F.col("_order") < order("node"), F.col("_near")).otherwise(F.col("node")).alias("to"))
+    far = near.select(F.col("node").alias("to"), F.col("to").alias("_far"))
+    pointers = cut_lineage(near.join(far, "to").select("node", F.col("_far").alias("to")))
+    at_a, at_b = (pointers.select(F.col("node").alias(end), F.col("to").alias(f"_{end}")) for end in "ab")
+    moved = edges.join(at_a, "a").join(at_b, "b").where("_a <> _b").select(
+        F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+    return pointers, cut_lineage(moved)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id reachable from each node.
 
-    ``nodes(id)``, ``edges(a, b)``. Every round takes the smallest label among a
-    node and its neighbours, then jumps to that label's own label, so long chains
-    shrink geometrically. Each round is cut to the checkpoint folder.
+    ``nodes(id)``, ``edges(a, b)``. Every round contracts the edges, so each reads less than
+    the one before and their number grows with the logarithm of the nodes, whatever the
+    shape of the graph. The rounds' pointers are then followed backwards. A round writes
+    twice to the checkpoint folder.
     """
-    both = cut_lineage(edges.select("a", "b").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select("id", F.col("id").alias("label")).distinct())
-    while True:
-        seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(
-            F.min("label").alias("_near"))
-        stepped = labels.join(seen.withColumnRenamed("a", "id"), "id", "left").select(
-            "id", "label", F.least("label", F.coalesce("_near", "label")).alias("step"))
-        jump = stepped.select(F.col("id").alias("step"), F.col("step").alias("_far"))
-        moved = cut_lineage(stepped.join(jump, "step", "left").select(
-            "id", F.least("step", F.coalesce("_far", "step")).alias("new"), "label"))
-        changed = moved.where("new <> label").limit(1).count()
-        labels = moved.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels
+    live = cut_lineage(edges.where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    rounds = []
+    while not live.isEmpty():
+        pointers, live = contract(live, len(rounds))
+        rounds.append(pointers)
+    root = None
+    for pointers in reversed(rounds):
+        if root is None:
+            root = pointers.withColumnRenamed("to", "root")
+        else:
+            further = root.select(F.col("node").alias("to"), "root")
+            root = pointers.join(further, "to", "left").select("node", F.coalesce("root", "to").alias("root"))
+    ids = nodes.select("id").distinct()
+    if root is None:
+        return ids.withColumn("label", F.col("id"))
+    root = cut_lineage(root)
+    least = root.groupBy("root").agg(F.min("node").alias("label"))
+    label = root.join(least, "root").select(F.col("node").alias("id"), "label")
+    return ids.join(label, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
 def dbscan(points: DataFrame, keys, eps, min_samples) -> DataFrame:

@@ -115,6 +115,31 @@ def test_track_choice_matches_serial_greedy(spark):
     assert {r.object_id: r.previous_id for r in got.where("previous_id is not null").collect()} == want
 
 
+def test_components_contract_edges_every_round(spark):
+    rng = np.random.default_rng(11)
+    edges = {(int(a), int(b)) for a, b in rng.integers(0, 400, (420, 2)) if a != b}
+    edges |= {(1000 + i, 1001 + i) for i in range(100)} | {(2000, 2001 + i) for i in range(50)}
+    frame = spark.createDataFrame(sorted(edges), "a long, b long")
+    want = {i: i for e in edges for i in e}
+    while True:
+        new = {**want}
+        for a, b in edges:
+            new[a] = new[b] = min(new[a], new[b])
+        if new == want:
+            break
+        want = new
+    nodes = spark.createDataFrame([(i,) for i in [*want, 5000]], "id long")
+    got = {r.id: r.label for r in cluster.connected_components(nodes, frame).collect()}
+    assert got == {**want, 5000: 5000}
+    live, sizes = frame, [len(edges)]
+    while not live.isEmpty():
+        pointers, live = cluster.contract(live, len(sizes))
+        sizes.append(live.count())
+    assert all(b < a for a, b in zip(sizes, sizes[1:])) and len(sizes) < 14
+    none = spark.createDataFrame([], "a long, b long")
+    assert cluster.connected_components(nodes.limit(3), none).where("id = label").count() == 3
+
+
 def test_ribbon_follows_a_curve(cloud):
     u = np.linspace(0, 10, 120)
     p = cloud([(a, .02 * a * a, .1, 1) for a in u] + [(a, -.3, 0, 0) for a in u]).withColumn(
