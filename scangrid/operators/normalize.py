@@ -1,8 +1,9 @@
 """Unit-ball normalisation and farthest-point sampling."""
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.groups import group_starts, whole_groups
 from .spatial import XYZ
 
 
@@ -25,25 +26,33 @@ def normalize_cloud(points: DataFrame, keys, dims=XYZ) -> DataFrame:
 def farthest_points(samples: DataFrame, keys, n, limit=4096, id_column="point_id") -> DataFrame:
     """Farthest-point order of ``n`` points per block, starting at the lowest id.
 
-    Each choice depends on all earlier ones, so a block is handled whole. Blocks come
-    from the resampler and hold at most ``limit`` points; a larger group is an error.
+    Each choice depends on all earlier ones, so a block is handled whole, together with
+    other blocks of its partition. Blocks come from the resampler and hold at most
+    ``limit`` points; a larger group is an error.
     """
     keys = list(keys)
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        if len(frame) > limit:
-            raise ValueError(f"block of {len(frame)} points exceeds {limit}; resample it first")
-        frame = frame.sort_values(id_column).reset_index(drop=True)
-        xyz = frame[list(XYZ)].to_numpy()
-        gap = np.full(len(frame), np.inf)
-        order, at = [], 0
-        for _ in range(min(n, len(frame))):
-            order.append(at)
-            gap = np.minimum(gap, ((xyz - xyz[at]) ** 2).sum(1))
-            at = int(gap.argmax())
-        out = frame.loc[order, [*keys, id_column]].copy()
-        out["pick"] = np.arange(len(order), dtype="int64")
-        return out
+    def run(batches):
+        for table in whole_groups(batches, keys):
+            starts = group_starts(table, keys)
+            counts = np.diff(np.append(starts, table.num_rows))
+            if counts.max() > limit:
+                raise ValueError(f"block of {counts.max()} points exceeds {limit}; resample it first")
+            block = np.repeat(np.arange(len(starts)), counts)
+            xyz = np.stack([table.column(d).to_numpy().astype(float) for d in XYZ], 1)
+            gap, at = np.full(len(xyz), np.inf), starts
+            rows, picks = [], []
+            for pick in range(min(n, counts.max())):
+                rows.append(at[counts > pick])
+                picks.append(np.full(len(rows[-1]), pick, np.int64))
+                gap = np.minimum(gap, ((xyz - xyz[at][block]) ** 2).sum(1))
+                far = np.maximum.reduceat(gap, starts)[block]
+                hit = np.flatnonzero((gap == far) | np.isnan(gap))
+                owner = block[hit]
+                at = hit[np.append(True, owner[1:] != owner[:-1])]
+            out = table.select([*keys, id_column]).take(pa.array(np.concatenate(rows)))
+            yield from out.append_column("pick", pa.array(np.concatenate(picks))).combine_chunks().to_batches()
     fields = {f.name: f.dataType.simpleString() for f in samples.schema.fields}
     schema = ", ".join(f"{c} {fields[c]}" for c in [*keys, id_column]) + ", pick long"
-    return samples.select(*keys, id_column, *XYZ).groupBy(*keys).applyInPandas(run, schema)
+    return (samples.select(*keys, id_column, *XYZ).repartition(*keys).sortWithinPartitions(*keys, id_column)
+            .mapInArrow(run, schema))
