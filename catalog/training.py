@@ -106,11 +106,11 @@ def apply_predictor(spark, sf):
 def block_prediction_transfer(spark, sf):
     """Predict the sampled points of each block, then give every point its nearest sample's class."""
     p = V.points(spark, sf).select(*K, "point_id", "x", "y", "z", "truth")
-    snap = [(F.floor(F.col(c) * 10000 + 0.5) / 10000).alias(c) for c in ("x", "y")]
+    snap = [B.snapped(c, 1e-4).alias(c) for c in ("x", "y")]
     samples = B.resample_blocks(p, 64, 16).where("not is_repeat").select(
         *B.BLOCK_KEYS, F.col("point_id").alias("sample_id"), *snap, "z")
     predicted = predict.apply_predictor(samples)
-    return B.transfer_labels(p, predicted).select(*K, "point_id", "pred")
+    return B.transfer_labels(p, predicted, step=1e-4).select(*K, "point_id", "pred")
 
 
 @register("sql_policy_functions", V.with_sql(V.POINTS_SQL, f"""

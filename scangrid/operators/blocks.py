@@ -118,15 +118,25 @@ def block_tensors(samples: DataFrame, channels, keys=BLOCK_KEYS) -> DataFrame:
                          F.transform("_r", lambda r: r["truth"]).alias("labels"))
 
 
+def snapped(column, step) -> Column:
+    """Nearest multiple of ``step``, which divides one."""
+    parts = round(1 / step)
+    return F.floor(F.col(column) * parts + 0.5) / parts
+
+
 def transfer_labels(points: DataFrame, predicted: DataFrame, keys=BLOCK_KEYS,
-                    columns=("pred", "conf")) -> DataFrame:
+                    columns=("pred", "conf"), step=None) -> DataFrame:
     """Give every point the prediction of the nearest sampled point of its block.
 
-    ``predicted`` has block-relative x, y, z and ``sample_id``.
+    ``predicted`` has block-relative x, y, z and ``sample_id``. With ``step`` the points'
+    block-relative x and y are rounded to multiples of it, as those of the samples have to
+    be, so that equal distances compare equal. Ties go to the smaller id.
     """
     keys = list(keys)
     local = with_blocks(points.drop(*columns)).withColumn("_gx", F.col("x")).withColumn(
         "_gy", F.col("y")).withColumn("x", F.col("x") - F.col("bx") * 10).withColumn(
         "y", F.col("y") - F.col("by") * 10)
-    near = nearest_capped(local, predicted, keys, 1e4, source_id="sample_id", carry=columns)
+    if step:
+        local = local.withColumns({c: snapped(c, step) for c in ("x", "y")})
+    near = nearest_capped(local, predicted, keys, 1e4, source_id="sample_id", carry=columns, rooted=True)
     return (near.withColumn("x", F.col("_gx")).withColumn("y", F.col("_gy")).drop("_gx", "_gy", "nearest_id", "distance"))
