@@ -103,3 +103,19 @@ def test_common_support(cloud):
 def test_unknown_policy_is_rejected(cloud):
     with pytest.raises(ValueError):
         grid.build_grid(cloud([(1, 1, 1, 1)]), ("other",))
+
+
+def test_overlaps_shuffle_leaves_not_cells(spark):
+    rows = [(0, 0, "p", 500, 0, -1), (0, 0, "p", 100, 1, -5), (0, 0, "p", 50, -1, 3), (0, 0, "p", 250, 1, 0),
+            (0, 0, "p", 50, 9, 4), (0, 0, "q", 500, 0, -1), (0, 0, "p", 350, 1, 0)]
+    leaf_rows = spark.createDataFrame(rows, "sequence long, frame_id long, policy string, size_mm int, lx long, ly long")
+    out = grid.overlapping_cells(leaf_rows)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    want = {}
+    for _, _, policy, mm, lx, ly in rows:
+        u = mm // 50
+        for ix in range(lx * u, lx * u + u):
+            for iy in range(ly * u, ly * u + u):
+                want[policy, ix, iy] = want.get((policy, ix, iy), 0) + 1
+    assert {(r.policy, r.ix, r.iy): r.covers for r in out.collect()} == {k: n for k, n in want.items() if n > 1}
