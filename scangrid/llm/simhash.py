@@ -138,17 +138,35 @@ def near_duplicates(docs: DataFrame, bucket_rows=BUCKET_ROWS) -> DataFrame:
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _joined(prints: DataFrame, similar: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp, root``: the classes ``similar(fp, root)``, joined where fingerprints are linked.
+
+    ``prints(fp, extra)`` has the fingerprint of every text as ``extra``. The classes under one
+    component of fingerprints are linked with the smallest of them.
+    """
+    near = classes(prints.select(F.col("extra").alias("fp")), scratch).select(
+        F.col("fp").alias("extra"), F.col("root").alias("component"))
+    met = scratch.write(prints.select("fp", "extra").distinct().join(near, "extra").join(similar, "fp")
+                        .select("component", "root").distinct())
+    least = met.groupBy("component").agg(F.min("root").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = components(met.join(least, "component").select(F.col("root").alias("a"), "b"), scratch)
+    further = found.select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return similar.join(further, "root", "left").select("fp", F.coalesce("_to", "root").alias("root"))
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """Rows of ``docs`` with one document of every group of similar texts, the smallest id.
 
-    Similar is what ``minhash`` links, as op7's fingerprints join only almost identical texts.
+    Similar is what op7's fingerprints link. As those join only almost identical texts, what
+    ``minhash`` links is similar too; groups are the components over both kinds of links.
     Rows without an id come last; of rows equal in every column one stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     marked = docs.select(F.struct(*columns).alias("doc"), "doc_id", "text", F.xxhash64(*columns).alias("_row"))
-    prints = scratch.write(minhash.sketches(marked, ("doc_id", "_row")))
-    rooted = minhash.classes(marked, prints, scratch)
+    prints = scratch.write(minhash.sketches(marked, ("doc_id", "_row"), fingerprint))
+    similar = scratch.write(minhash.classes(marked, prints, scratch))
+    rooted = scratch.write(_joined(prints, similar, scratch))
     keep = (prints.join(rooted, "fp").groupBy("root")
             .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("k"))
             .select(F.col("k.doc_id").alias("_id"), F.col("k._row").alias("_row")).distinct())

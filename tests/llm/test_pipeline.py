@@ -85,3 +85,18 @@ def test_stages_take_effect(spark, tmp_path):
     assert packing.piece_digest(docs).where("ids_crc32 < 0").count() == 0
     row = docs.first()
     assert packing.piece_digest(docs.limit(1)).columns[0] == "doc_id" and zlib.crc32(bytes(row["ids"])) >= 0
+
+
+def test_near_duplicates_follow_simhash_links(spark):
+    from scangrid.llm import minhash, simhash
+    body = "one two three " * 200
+    tails = [" ".join(f"{t}{i}" for i in range(12)) for t in "abc"]
+    texts = [body + t for t in tails]
+    prints = [simhash.fingerprint(t) for t in texts]
+    assert all((p ^ prints[0]).bit_count() <= simhash.RADIUS for p in prints)
+    sets = [set(minhash.shingles(t).tolist()) for t in texts]
+    assert len(sets[0] & sets[1]) < .5 * len(sets[0] | sets[1])
+    other = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, texts[0]), (3, texts[1]), (9, texts[2]), (4, other), (8, other + " end"), (7, "quite another text of its own")]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == [3, 4, 7]
