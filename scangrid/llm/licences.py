@@ -8,9 +8,9 @@ one of its templates.
 
 The model is fitted on the driver from the templates and at most ``SAMPLE_LINES`` lines (of up to
 ``SAMPLE_CHARS`` characters) of the
-corpus, by smallest hash. Tasks leave out the lines whose score is highest for "none"; the
-others are scored, confirmed and merged as DataFrame work, and the joined tables are the model's
-own, of fixed size.
+corpus, by smallest hash. Scoring is DataFrame work only: lines whose score is highest for "none"
+go first, equal lines among the others are merged, and the joined tables are the model's own, of
+fixed size.
 
 Defined cases: null and empty texts have no notices; repeated rows each get their notices;
 very long lines are one paragraph; ties in probability go to the first name; other columns are
@@ -21,7 +21,6 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, table
@@ -146,37 +145,21 @@ def candidate_lines(docs: DataFrame, model: Model | None = None) -> DataFrame:
     model = model or fit(docs)
     none = model.classes.index("none")
     # How much a gram favours each class over "none"; scores are linear in the grams.
-    lead = {g: w - w[none] for g, w in zip(model.vocabulary, model.weights)}
+    lead = np.delete(model.weights - model.weights[:, [none]], none, axis=1)
     base = np.delete(model.bias - model.bias[none], none)
-    lead = {g: np.delete(w, none) for g, w in lead.items()}
-    most = {g: float(w.max()) for g, w in lead.items()}
-    start = float(base.max())
-    token = re.compile("[a-z0-9.+-]+")
-
-    def notice(line):
-        words = [w for w in (x.strip(".") for x in token.findall(line.lower())) if w]
-        known = {w for w in words if w in most}
-        own = known | {p for a, b in zip(words, words[1:]) if a in known and b in known
-                       and (p := f"{a} {b}") in most}
-        # The leads of single classes add up to no more than the greatest leads do.
-        if start + sum([most[g] for g in own]) < -1e-9:
-            return False
-        return float(sum([lead[g] for g in own], base).max()) > -1e-9
-
-    def run(batches):
-        for batch in batches:
-            rows, at, lines = [], [], []
-            for i, text in enumerate(batch.column(1)):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    if line and notice(line):
-                        rows.append(i)
-                        at.append(k)
-                        lines.append(line)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(lines, pa.string())],
-                names=["doc_id", "paragraph", "line"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, paragraph int, line string")
+    leads = docs.sparkSession.createDataFrame(
+        [(g, [float(v) for v in w]) for g, w in zip(model.vocabulary, lead)], "gram string, lead array<double>")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where("line <> ''")
+    bare = float(base.max()) > -1e-9  # then lines without any known gram count too
+    each, how = (F.explode_outer, "left") if bare else (F.explode, "inner")
+    grams = lines.select(F.monotonically_increasing_id().alias("_at"), F.xxhash64("line").alias("_line"),
+                         _grams(F.col("line")).alias("grams")).select("_at", "_line", each("grams").alias("gram"))
+    sums = grams.join(F.broadcast(leads), "gram", how).groupBy("_at").agg(
+        F.min("_line").alias("_line"), *[F.sum(F.col("lead")[i]).alias(f"l{i}") for i in range(len(base))])
+    best = F.greatest(*[F.coalesce(f"l{i}", F.lit(0.0)) + float(v) for i, v in enumerate(base)])
+    # Lines are known by a hash here; one that merely shares it is put under "none" later.
+    wanted = sums.where(best > -1e-9).select("_line").distinct()
+    return lines.withColumn("_line", F.xxhash64("line")).join(wanted, "_line", "left_semi").drop("_line")
 
 
 def fit(docs: DataFrame) -> Model:
