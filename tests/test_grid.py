@@ -119,3 +119,35 @@ def test_overlaps_shuffle_leaves_not_cells(spark):
             for iy in range(ly * u, ly * u + u):
                 want[policy, ix, iy] = want.get((policy, ix, iy), 0) + 1
     assert {(r.policy, r.ix, r.iy): r.covers for r in out.collect()} == {k: n for k, n in want.items() if n > 1}
+
+
+def test_numpy_policy_tests_agree_with_their_sql(spark):
+    import numpy as np
+    from scangrid.functions import cells as C, text
+    rng = random.Random(5)
+    rows = [(rng.randint(-200, 199) * .5, rng.randint(-200, 199) * .5, rng.uniform(0, 30), rng.uniform(-3, 3),
+             *[rng.choice((0, 0, 1, 5, 400)) for _ in range(3)], 1) for _ in range(500)]
+    names = ("x", "y", "v", "h", "a", "b", "c", "d")
+    got = spark.createDataFrame(rows, "x double, y double, v double, h double, a int, b int, c int, d int").selectExpr(
+        f"{text.ceiling(text.region_near('x', 'y', .5, 'v', 'h', True), text.dither('x', 'y'), text.corner_distance('x', 'y', .5))} as ceil",
+        f"{text.semantic_split(*'abcd')} as mixed", f"{text.argmax4(*'abcd')} as top").collect()
+    at = dict(zip(names, map(np.array, zip(*rows))))
+    near = C.region_near(at["x"], at["y"], .5, at["v"], at["h"], True)
+    ceil = C.ceiling(near, C.dither(at["x"], at["y"]), C.corner_distance(at["x"], at["y"], .5))
+    counts = [at[k] for k in "abcd"]
+    assert [tuple(r) for r in got] == list(zip(ceil, C.semantic_split(counts), C.argmax4(counts)))
+
+
+def test_tiers_take_no_window_and_keep_settings_and_unknown_confidence(spark, cloud):
+    pts = cloud([(x * .31 - 20, 7 - x * .17, (x % 5) * .3, x % 4) for x in range(300)])
+    turns = spark.createDataFrame([(0, 0, v, 16.0, v * .7) for v in range(3)],
+                                  "sequence long, frame_id long, variant int, speed double, heading double")
+    many = grid.grid_cells(pts, ("adaptive",), turns)
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    for v in range(3):
+        one = grid.grid_cells(pts, ("adaptive",), turns.where(f"variant = {v}").drop("variant"))
+        own = many.where(f"variant = {v}").drop("variant")
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, one.collect()))
+    blank = grid.build_grid(pts.withColumn("conf", F.lit(None).cast("double")), ("distance",)).first()
+    assert blank.dominant_class is not None and blank.class_confidence == 0
