@@ -26,9 +26,9 @@ def _strata(spark, sf):
     return summaries.frame_strata(V.points(spark, sf))
 
 
-def _cube(spark, sf, own):
+def _cube(spark, sf, counts):
     """Frames are spread over a 4,071-frame drive by 582."""
-    return reports.report_cube(Q.common_confusion(own), _strata(spark, sf),
+    return reports.report_cube(counts, _strata(spark, sf),
                                SEM.temporal_interval(F.col("frame_id") * 582))
 
 
@@ -42,8 +42,8 @@ def _cube(spark, sf, own):
    / nullif(count(*) filter (where fine_truth < 4 and (fine_truth in (2,3) or dominant_class in (2,3))), 0) as v
    from (select *, {FINE_BAND} as band from shared) x where band is not null group by 1, 2, 3, 4) o group by 1, 2) o using (policy, band)"""))
 def report_bands(spark, sf):
-    own = cells(spark, sf)
-    return reports.band_report(_cube(spark, sf, own), own).select(
+    own = reports.frame_sums(cells(spark, sf))
+    return reports.band_report(_cube(spark, sf, reports.labelled_counts(own)), own).select(
         "policy", "band", r("accuracy"), r("miou"), "labelled", r("spread", 6), "frames", r("obstacle_iou"))
 
 
@@ -52,7 +52,7 @@ def report_bands(spark, sf):
   max(labelled) filter (where policy='adaptive') as labelled
  from ({S.scores_sql('interval_conf', ('policy', 'time_interval', 'band'))}) s group by 1, 2"""))
 def report_intervals(spark, sf):
-    out = reports.interval_report(_cube(spark, sf, cells(spark, sf)))
+    out = reports.interval_report(_cube(spark, sf, Q.common_confusion(cells(spark, sf))))
     return out.select("time_interval", "band", r("delta_miou", 8), "labelled")
 
 
@@ -60,7 +60,7 @@ def report_intervals(spark, sf):
  select policy, scene_stratum, accuracy, miou, labelled, frames from ({S.scores_sql('stratum_conf', ('policy', 'scene_stratum'))}) s
  join (select scene_stratum, count(*) as frames from strata group by 1) f using (scene_stratum)"""))
 def report_strata(spark, sf):
-    out = reports.stratum_report(_cube(spark, sf, cells(spark, sf)), _strata(spark, sf))
+    out = reports.stratum_report(_cube(spark, sf, Q.common_confusion(cells(spark, sf))), _strata(spark, sf))
     return out.select("policy", "scene_stratum", r("accuracy"), r("miou"), "labelled", "frames")
 
 
@@ -78,8 +78,8 @@ def report_strata(spark, sf):
   join (select sequence, frame_id, count(*) filter (where sqrt(x*x+y*y) < 100)/count(*)::double as retained from points group by 1, 2) t using (sequence, frame_id)
   group by 1) m using (policy)"""))
 def report_policies(spark, sf):
-    own = cells(spark, sf)
-    out = reports.policy_report(_cube(spark, sf, own), own, V.points(spark, sf))
+    own = reports.frame_sums(cells(spark, sf))
+    out = reports.policy_report(_cube(spark, sf, reports.labelled_counts(own)), own, V.points(spark, sf))
     return out.select("policy", "frames", r("mean_cells", 6), r("mean_bytes", 6), r("mean_refined_nodes", 6),
                       *[r(f"mean_{c}") for c in ("retained_fraction", "complex_mean_cell_m", "simple_mean_cell_m")],
                       r("accuracy"), r("miou"), "labelled")

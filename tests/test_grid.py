@@ -151,3 +151,20 @@ def test_tiers_take_no_window_and_keep_settings_and_unknown_confidence(spark, cl
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, one.collect()))
     blank = grid.build_grid(pts.withColumn("conf", F.lit(None).cast("double")), ("distance",)).first()
     assert blank.dominant_class is not None and blank.class_confidence == 0
+
+
+def test_reports_from_sums_read_the_cells_once(spark, cloud):
+    from scangrid.operators import reports
+    pts = cloud([(x * .31 - 20, 7 - x * .17, (x % 5) * .3, x % 4) for x in range(300)]).withColumn(
+        "truth", F.col("point_id") % 5)
+    cells = grid.grid_cells(pts, ("uniform", "semantic"), truth="truth").cache()
+    sums = reports.frame_sums(cells)
+    by = ["sequence", "frame_id", "policy"]
+    def sort(df):
+        return sorted(map(str, df.collect()))
+    want = quality.obstacle_iou(cells, by).drop("multi_height_cells")
+    assert sort(reports.summed_obstacle_iou(sums, by)) == sort(want)
+    assert sort(reports.labelled_counts(sums).select(*by, "band", "truth", "pred", "n")) == sort(
+        quality.common_confusion(cells).select(*by, "band", "truth", "pred", "n"))
+    storage = {r.policy: r.cells for r in grid.leaf_storage(grid.leaves(cells), by).collect()}
+    assert {r.policy: r.c for r in sums.groupBy("policy").agg(F.sum("leaves").alias("c")).collect()} == storage
