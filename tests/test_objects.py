@@ -232,3 +232,25 @@ def test_farthest_points_match_brute_force(cloud):
         gap = np.minimum(gap, ((p - p[at]) ** 2).sum(1))
         at = int(gap.argmax())
     assert [r.point_id for r in got] == want
+
+
+def test_dbscan_searches_agree_with_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(f), i, *map(float, p), int(w), int(i // 3)) for i, (f, p, w) in enumerate(zip(
+        rng.integers(0, 2, 300), rng.uniform(-20, 20, (300, 3)) * (1, 1, .1), rng.integers(1, 4, 300)))]
+    df = spark.createDataFrame(rows, "frame_id long, pid long, x double, y double, z double, w long, node long")
+    near = {(a[1], b[1]) for a in rows for b in rows
+            if a[0] == b[0] and sum((p - q) ** 2 for p, q in zip(a[2:5], b[2:5])) <= 4}
+    total = {r.pid: r.total for r in cluster._weights_within(df, df, ["frame_id"], F.lit(2.0)).collect()}
+    assert total == {a[1]: sum(b[5] for b in rows if (a[1], b[1]) in near) for a in rows}
+    edges = {(r.a, r.b) for r in cluster._edges_within(df, ["frame_id"], 2.0).collect()}
+    assert edges == {(rows[a][6], rows[b][6]) for a, b in near if rows[a][6] < rows[b][6]}
+
+
+def test_dbscan_sends_no_position_to_27_cells(spark, cloud):
+    pts = cloud([(i * .3, 0, 0, 2) for i in range(20)])
+    found = cluster.dbscan(pts.select("sequence", "frame_id", "point_id", "x", "y", "z"), ["sequence", "frame_id"], 1.0, 3)
+    assert found.select("cluster").distinct().count() == 1
+    one = cluster._edges_within(pts.withColumn("node", F.col("point_id")), ["sequence", "frame_id"], 1.0)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
