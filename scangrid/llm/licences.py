@@ -27,6 +27,8 @@ from .common import Scratch, table
 from .features import softmax
 
 SAMPLE_LINES, SAMPLE_CHARS, CONFIRMED = 500, 400, 0.8
+#: Distinct notice lines of which the hashes may go to every executor.
+BROADCAST = 500_000
 
 # Usual notices of each family.
 TEMPLATES = {
@@ -86,6 +88,22 @@ def _grams(line):
     return F.array_distinct(F.concat(words, pairs))
 
 
+def known_grams(lines: DataFrame, vocabulary, *keep: str) -> DataFrame:
+    """``keep`` and ``grams``: those of ``_grams(line)`` that are in ``vocabulary``.
+
+    A pair is put together only where both of its words occur in pairs of the vocabulary.
+    """
+    pairs = [g.split(" ") for g in vocabulary if " " in g]
+    first, second = (sorted({p[i] for p in pairs}) for i in (0, 1))
+    # Words as in ``_grams``: no full stop at either end.
+    words = F.regexp_extract_all(F.lower("line"), F.lit(r"[a-z0-9+-](?:[a-z0-9.+-]*[a-z0-9+-])?"), F.lit(0))
+    split = lines.select(*keep, words.alias("_words"))
+    both = F.zip_with("_words", F.slice("_words", 2, F.size("_words")), lambda a, b: F.when(
+        a.isin(first) & b.isin(second), F.concat_ws(" ", a, b)))
+    known = F.filter(F.concat("_words", both), lambda g: g.isin(vocabulary))
+    return split.select(*keep, F.array_distinct(known).alias("grams"))
+
+
 class Model:
     """Weights per n-gram and class, biases, sharpness and the least probability of a family."""
 
@@ -152,13 +170,19 @@ def candidate_lines(docs: DataFrame, model: Model | None = None) -> DataFrame:
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where("line <> ''")
     bare = float(base.max()) > -1e-9  # then lines without any known gram count too
     each, how = (F.explode_outer, "left") if bare else (F.explode, "inner")
-    grams = lines.select(F.monotonically_increasing_id().alias("_at"), F.xxhash64("line").alias("_line"),
-                         _grams(F.col("line")).alias("grams")).select("_at", "_line", each("grams").alias("gram"))
+    grams = known_grams(lines.select(F.monotonically_increasing_id().alias("_at"), F.xxhash64("line").alias("_line"),
+                                     "line"), model.vocabulary, "_at", "_line")
+    if not bare:  # nothing but a gram that favours some class lifts a line over "none"
+        favour = [g for g, w in zip(model.vocabulary, lead) if max(w) > 0]
+        grams = grams.where(F.exists("grams", lambda g: g.isin(favour)))
+    grams = grams.select("_at", "_line", each("grams").alias("gram"))
     sums = grams.join(F.broadcast(leads), "gram", how).groupBy("_at").agg(
         F.min("_line").alias("_line"), *[F.sum(F.col("lead")[i]).alias(f"l{i}") for i in range(len(base))])
     best = F.greatest(*[F.coalesce(f"l{i}", F.lit(0.0)) + float(v) for i, v in enumerate(base)])
     # Lines are known by a hash here; one that merely shares it is put under "none" later.
-    wanted = sums.where(best > -1e-9).select("_line").distinct()
+    wanted = Scratch(docs.sparkSession, "licences").write(sums.where(best > -1e-9).select("_line").distinct())
+    if wanted.count() <= BROADCAST:  # hashes only; beyond that the lines are shuffled
+        wanted = F.broadcast(wanted)
     return lines.withColumn("_line", F.xxhash64("line")).join(wanted, "_line", "left_semi").drop("_line")
 
 

@@ -220,3 +220,16 @@ def test_licence_lines_without_usual_words_are_scored(spark, documents):
         return model.classes[int(np.argmax(model.bias + sum(model.weights[at[g]] for g in licences.ngrams(line) if g in at)))]
     kept = {r.line for r in licences.candidate_lines(docs, model).collect()}
     assert kept == {line for line in lines if best(line) != "none"}
+
+
+def test_licence_grams_of_the_vocabulary_only(spark):
+    lines = ["Licensed under the MIT License.", "...the. MIT,license ... the MIT license", "the the the MIT", ". .the", "", "..", "of",
+             "x MIT License x", "a." * 100000 + " of the", "\u212a of\u00a0the", "v. 2.0 2.0. of..the of.the", "the\tof\r\nthe of"]
+    vocabulary = ["the", "of", "mit", "license", "2.0", "k", "of the", "the of", "the mit", "mit license", "v 2.0", "2.0 2.0", "of..the"]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string")
+    grams = licences.known_grams(df, vocabulary, "i")
+    got = {r.i: r.grams for r in grams.collect()}
+    for i, line in enumerate(lines):
+        assert len(got[i]) == len(set(got[i])) and set(got[i]) == licences.ngrams(line) & set(vocabulary), line
+    plain = {r.i: set(r.grams) & set(vocabulary) for r in df.select("i", licences._grams(F.col("line")).alias("grams")).collect()}
+    assert plain == {i: set(g) for i, g in got.items()}
