@@ -1,7 +1,7 @@
 """Frame streams: ingest, previous-frame state, windows, sessions, duplicates, grids."""
-import math
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -89,6 +89,57 @@ def latest_snapshot(aggregate: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(aggregate.schema).parquet(path)
 
 
+#: Rows of one table that a stateful step gives back; numbers that stand for no time and no frame.
+ROWS_OUT, NO_TIME, NO_FRAME = 10_000, np.iinfo(np.int64).min, np.iinfo(np.int64).max
+
+
+def _motion(prior, at, px, py):
+    """``dt, speed, heading`` of frames in order after ``prior`` (time and position, or None), and the next prior."""
+    if prior is None and at[0] == NO_TIME:  # such frames come last, so there are no others
+        return pd.DataFrame({"dt": np.full(len(at), np.nan), "speed": 0.0, "heading": 0.0}), None
+    last = np.append(at[0] if prior is None else prior[0], at[:-1])
+    # Only frames later than all before them move the state on.
+    moves = at > np.maximum.accumulate(last)
+    if prior is None:
+        moves[0] = True
+    begin = (at[0], px[0], py[0]) if prior is None else prior
+    stops = [np.append(b, v[moves]) for b, v in zip(begin, (at, px, py))]
+    base = np.cumsum(moves) - moves
+    t, x, y = (s[base] for s in stops)
+    dt, dx, dy = np.where(at == NO_TIME, np.nan, (at - t) / 1e6), px - x, py - y
+    ahead = dt > 0
+    speed = np.divide(np.hypot(dx, dy), dt, out=np.zeros(len(at)), where=ahead)
+    out = pd.DataFrame({"dt": dt, "speed": speed, "heading": np.where(ahead, np.arctan2(dy, dx), 0.0)})
+    if prior is None:
+        out.loc[0, "dt"] = None
+    # A frame without a position has no motion, nor has the one after it.
+    out[["speed", "heading"]] = out[["speed", "heading"]].fillna(0.0)
+    return out, (int(stops[0][-1]), float(stops[1][-1]), float(stops[2][-1]))
+
+
+def follow_motion(key, chunks, state):
+    """Motion of one sequence's frames of a micro-batch, in tables of ``ROWS_OUT`` rows."""
+    prior = state.get if state.exists else None
+    waiting = [bytearray() for _ in range(4)]  # they grow in place; lists of arrays take twice as much
+    for chunk in chunks:
+        columns = (chunk["ts"].to_numpy("datetime64[us]").astype(np.int64),
+                   chunk["frame_id"].astype("Int64").fillna(NO_FRAME).to_numpy(np.int64),
+                   chunk["px"].to_numpy(np.float64), chunk["py"].to_numpy(np.float64))
+        for held, values in zip(waiting, columns):
+            held += values.tobytes()
+    at, frame_id, px, py = map(np.frombuffer, waiting, (np.int64, np.int64, np.float64, np.float64))
+    order = np.lexsort((frame_id, at, at == NO_TIME))
+    for k in range(0, len(order), ROWS_OUT):
+        part = order[k:k + ROWS_OUT]
+        out, prior = _motion(prior, at[part], px[part], py[part])
+        ids = pd.Series(frame_id[part], dtype="Int64")
+        out.insert(0, "frame_id", ids.mask(ids == NO_FRAME))
+        out.insert(0, "sequence", key[0])
+        yield out
+    if prior is not None:
+        state.update(prior)
+
+
 MOTION_FIELDS = "sequence long, frame_id long, dt double, speed double, heading double"
 
 
@@ -97,27 +148,10 @@ def previous_frame_motion(stream: DataFrame, late="1 day") -> DataFrame:
 
     ``stream`` has sequence, frame_id, ts, px, py (a position per frame). State is one
     position; a frame whose time does not advance gets no motion and leaves it alone.
+    A sequence's frames of a micro-batch wait as four numbers each until they are sorted.
     """
-    def step(key, chunks, state):
-        prior = state.get if state.exists else None
-        rows = pd.concat(list(chunks)).sort_values(["ts", "frame_id"])
-        out = []
-        for row in rows.itertuples(index=False):
-            at = row.ts.value // 1000
-            dt = speed = heading = None
-            if prior is None:
-                prior = (at, row.px, row.py)
-            else:
-                dt = (at - prior[0]) / 1e6
-                if dt > 0:
-                    dx, dy = row.px - prior[1], row.py - prior[2]
-                    speed, heading = math.hypot(dx, dy) / dt, math.atan2(dy, dx)
-                    prior = (at, row.px, row.py)
-            out.append((key[0], row.frame_id, dt, speed or 0.0, heading or 0.0))
-        state.update(prior)
-        yield pd.DataFrame(out, columns=["sequence", "frame_id", "dt", "speed", "heading"])
     return (stream.withWatermark("ts", late).groupBy("sequence").applyInPandasWithState(
-        step, MOTION_FIELDS, "at long, px double, py double", "append",
+        follow_motion, MOTION_FIELDS, "at long, px double, py double", "append",
         GroupStateTimeout.NoTimeout))
 
 
