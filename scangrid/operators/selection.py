@@ -2,6 +2,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geom import as_col, radius
+from ..session import cut_lineage
 from .scale import evenly_spaced, first_n, with_rank
 
 RANGES, SAMPLE = 64, 8192
@@ -23,17 +24,20 @@ def number_frames(files: DataFrame, keys, name="name", limit=None) -> DataFrame:
     A long list is split at keys of a bounded sample (``SAMPLE`` names by smallest hash);
     which keys those are decides how evenly the work is dealt, not the result.
     """
-    keyed = files.withColumn("_key", natural_key(name))
-    picked = sorted(r[0] for r in keyed.select("_key").where("_key is not null")
-                    .orderBy(F.xxhash64("_key")).limit(SAMPLE).collect())
+    sample = files.select(F.col(name).alias("_name")).where("_name is not null").orderBy(
+        F.xxhash64("_name")).limit(SAMPLE)
+    picked = sorted(r[0] for r in sample.select(natural_key("_name")).collect())
     edges = sorted(set(picked[::max(1, len(picked) // RANGES)]))
-    place = F.lit(0) if not edges else F.size(F.filter(
-        F.array(*map(F.lit, edges)), lambda e: e <= F.col("_key")))
+    # The key is bound outside the filter: named inside, it is worked out again for every edge.
+    place = F.lit(0) if not edges else F.transform(F.array("_key"), lambda k: F.size(F.filter(
+        F.array(*map(F.lit, edges)), lambda e: e <= k)))[0]
+    # Written once, as ranking reads keys and ranges several times.
+    keyed = cut_lineage(files.withColumn("_key", natural_key(name)).withColumn("_place", place))
     if limit is None:
-        out = with_rank(keyed, keys, ["_key", name], place, "frame_id").drop("frame_id_total")
+        out = with_rank(keyed, keys, ["_key", name], F.col("_place"), "frame_id").drop("frame_id_total")
     else:
-        out = first_n(keyed, keys, ["_key", name], place, limit, "frame_id")
-    return out.withColumn("timestamp", F.col("frame_id") * 0.1).drop("_key")
+        out = first_n(keyed, keys, ["_key", name], F.col("_place"), limit, "frame_id")
+    return out.withColumn("timestamp", F.col("frame_id") * 0.1).drop("_key", "_place")
 
 
 def spread_frames(frames: DataFrame, keys, n, order="frame_id", width=1000) -> DataFrame:

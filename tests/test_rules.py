@@ -29,6 +29,15 @@ def test_number_frames_keeps_all_names(spark):
     assert selection.number_frames(files, ["archive"], limit=7).count() == 7
 
 
+def test_number_frames_works_out_a_key_once(spark):
+    files = spark.createDataFrame([("a", f"f{i}") for i in range(90)] + [("a", None), ("a", "")], "archive string, name string")
+    ranked = selection.number_frames(files, ["archive"])
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
+    got = {r["name"]: r["frame_id"] for r in ranked.collect()}
+    assert got == {None: 0, "": 1, **{f"f{i}": i + 2 for i in range(90)}}
+
+
 def test_natural_key_of_long_numbers(spark):
     names = ["a9", "a10", "a" + "1" + "0" * 24, "a" + "9" * 24, "a007", "b1", "a"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
