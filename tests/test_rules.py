@@ -78,3 +78,17 @@ def test_rerun_replaces_predictions(spark, tmp_path):
     sinks.write_predictions(preds, path)
     sinks.write_predictions(preds.where("sequence = 1"), path)
     assert sinks.read_predictions(spark, path, "m").count() == 2
+
+
+def test_temporal_match_builds_its_map_once(spark):
+    from scangrid.operators import spatial
+    rows = [(0, f, 100, lx, 0, lx / 10, 0.0, 0.1, lx % 4, 0.0) for f in (0, 1) for lx in range(3)]
+    leaves = spark.createDataFrame(rows, "sequence long, frame_id long, size_mm int, lx long, ly long, x double, y double, "
+                                         "size double, dominant_class int, mean_z double")
+    leaves = leaves.mapInArrow(lambda batches: batches, leaves.schema)
+    still = {f"e_t{r}{c}": F.lit(float(r == c)) for r in range(3) for c in range(4)}
+    ego = spark.createDataFrame([(0, 1, 0)], "sequence long, frame_id long, previous_frame long").withColumns(still)
+    got = spatial.temporal_match(leaves, ego)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # the search
+    found = got.collect()
+    assert len(found) == 3 and all(r.frame_id == 1 and r.leaf_id == r.nearest_id and r.distance == 0 for r in found)
