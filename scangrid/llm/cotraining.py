@@ -153,8 +153,10 @@ def fit(docs: DataFrame, labels: DataFrame):
 def scored(docs: DataFrame, labels: DataFrame, carry: str) -> DataFrame:
     """``carry, text_score, meta_score, score``; ``carry``: doc_id, or doc for the whole row as a struct."""
     model = fit(docs, labels)
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if carry == "doc" else F.col(carry)
-    source = docs.select(kept, "text", "source", "lang", "n_chars")
+    need = ("text", "source", "lang", "n_chars")
+    # A whole row holds what is needed; its text does not travel twice.
+    source = (docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")) if carry == "doc"
+              else docs.select(carry, *need))
     if isinstance(model, float):
         return source.select(carry, *[F.lit(model).alias(c) for c in ("text_score", "meta_score", "score")])
 
@@ -163,7 +165,8 @@ def scored(docs: DataFrame, labels: DataFrame, carry: str) -> DataFrame:
         for whole in batches:
             for at in range(0, max(1, len(whole)), 512):
                 b = whole.slice(at, 512)
-                text, source, lang, size = (b.column(i).to_pylist() for i in range(1, 5))
+                get_column = b.column(0).field if carry == "doc" else b.column
+                text, source, lang, size = (get_column(c).to_pylist() for c in need)
                 if text:
                     meta = np.array([metadata(s, la, n, t) for s, la, n, t in zip(source, lang, size, text)])
                     cols = model.scores([get(t) for t in text], meta)

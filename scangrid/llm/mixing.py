@@ -69,15 +69,19 @@ def fit_domains(docs: DataFrame, labels: DataFrame, domain: str):
 
 
 def with_posteriors(docs: DataFrame, weights: np.ndarray, text="text") -> DataFrame:
-    """``docs`` with ``_tokens`` and the array ``_posterior``."""
-    at, names = docs.columns.index(text), docs.columns
+    """``docs`` with ``_tokens`` and the array ``_posterior``; ``text`` may be a field of a struct, ``doc.text``."""
+    outer, *inner = text.split(".")
+    at, names = docs.columns.index(outer), docs.columns
 
     def run(batches):
         get = Extractor(shapes=False)
         for whole in batches:
             for start in range(0, max(1, len(whole)), 512):
                 b = whole.slice(start, 512)
-                texts = b.column(at).to_pylist()
+                column = b.column(at)
+                for field in inner:
+                    column = column.field(field)
+                texts = column.to_pylist()
                 p = softmax(Sparse([get(t) for t in texts]).dot(weights)) if texts else np.empty((0, 1))
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, pa.array([len((t or "").split()) for t in texts], pa.int64()),
@@ -225,8 +229,8 @@ def resampled(docs: DataFrame, labels: DataFrame, targets=None, domain="lang", b
     rate = rate_of(residuals, 1.0 if budget == "keep" else 0.0)
     draw = F.pmod(F.xxhash64(F.lit("mix"), "doc"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), "text")
-    out = with_posteriors(whole, weights).withColumn("_copies", copies).where("_copies > 0")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    out = with_posteriors(whole, weights, "doc.text").withColumn("_copies", copies).where("_copies > 0")
     return out.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("doc.*")
 
 

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import table
 
 POOL = 1024
+#: Pieces that leave a task at once.
+BATCH = 1024
 END = 1
 
 
@@ -42,6 +44,17 @@ _RUN = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3
 _SPECIAL = "<|endoftext|>"
 
 
+class _Seen(dict):
+    """Part of a text -> its ids, filled as parts are met."""
+
+    def __init__(self, encode, before):
+        self.encode, self.before = encode, before
+
+    def __missing__(self, part):
+        ids = self[part] = np.array(self.encode(self.before + part), "<u4").tobytes()
+        return ids
+
+
 class Encoder:
     """Ids of the byte-level vocabulary at ``path`` (ranks), as little-endian 32-bit bytes.
 
@@ -50,7 +63,7 @@ class Encoder:
     space are parts of their own, but for their last character.
     """
 
-    KEEP = 1 << 20
+    KEEP = 1 << 17
 
     def __init__(self, path: str):
         import tiktoken
@@ -60,15 +73,7 @@ class Encoder:
         encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                    special_tokens={})._core_bpe.encode_ordinary
         self.special = np.array([len(ranks)], "<u4").tobytes()
-
-        class Seen(dict):
-            def __init__(self, before):
-                self.before = before
-
-            def __missing__(self, part):
-                ids = self[part] = np.array(encode(self.before + part), "<u4").tobytes()
-                return ids
-        self.first, self.later = Seen(""), Seen(" ")
+        self.first, self.later = _Seen(encode, ""), _Seen(encode, " ")
 
     def _words(self, text: str):
         first, *later = text.split(" ")
@@ -201,12 +206,12 @@ def _pack(items, kind, limits, pool):
             [pa.array(c, t) for c, t in zip([*keys, *cols[1:]], types)], names=names)
     for item in items:
         rows += packer.add(*item)
-        if len(rows) >= 4096:
+        if len(rows) >= BATCH:
             yield batch()
             rows.clear()
     for row in packer.finish():
         rows.append(row)
-        if len(rows) >= 4096:
+        if len(rows) >= BATCH:
             yield batch()
             rows.clear()
     yield batch()

@@ -2,6 +2,8 @@
 import collections
 import zlib
 
+import pyarrow as pa
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from scangrid.llm import packing
@@ -100,3 +102,33 @@ def test_near_duplicates_follow_simhash_links(spark):
     rows = [(5, texts[0]), (3, texts[1]), (9, texts[2]), (4, other), (8, other + " end"), (7, "quite another text of its own")]
     got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == [3, 4, 7]
+
+
+def test_stages_bound_arrow_batches_by_bytes(spark, documents):
+    from scangrid.llm import common
+    spark.conf.unset(common._BATCH)
+    docs = documents(["word " * 200_000] * 12, clash=False).coalesce(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["rows"])
+    try:
+        corpus_pipeline.pack(spark, docs, SF)
+        assert max(r.rows for r in docs.mapInArrow(sizes, "rows long").collect()) <= 4
+        spark.conf.set(common._BATCH, "64m")
+        corpus_pipeline.mix(spark, docs.limit(0), SF)
+        assert spark.conf.get(common._BATCH) == "64m"
+    finally:
+        spark.conf.unset(common._BATCH)
+
+
+def test_texts_of_whole_rows_travel_once(spark, documents):
+    import numpy as np
+    from pyspark.sql import functions as F
+    from scangrid.llm import features, mixing
+    docs = documents(["a few words", None, "of text", ""])
+    weights = np.random.default_rng(1).random((features.DIMS, 3))
+    plain = mixing.with_posteriors(docs.select("doc_id", "text"), weights).drop("text").collect()
+    whole = mixing.with_posteriors(docs.select(F.struct("doc_id", "text").alias("doc")), weights, "doc.text")
+    assert whole.columns == ["doc", "_tokens", "_posterior"]
+    assert whole.select("doc.doc_id", "_tokens", "_posterior").collect() == plain
