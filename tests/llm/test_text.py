@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from scangrid.llm import chat, minhash, packing, simhash, suffix_dedup
 from scangrid.llm.common import Scratch
@@ -165,6 +166,19 @@ def test_suffix_dedup_is_exact(spark, documents, repeating_texts, bucket):
     assert [tuple(r)[1:] for r in got] == slow_digest(repeating_texts)
 
 
+def test_suffix_dedup_leaves_hot_keys_in_place(spark, documents, repeating_texts):
+    rows = spark.range(0, 4000, 1, 8).selectExpr("if(id % 10 = 0, id, 1) AS gram", "id")
+    counts = rows.groupBy("gram").count().where("count > 1")
+    hot, rest = suffix_dedup._parts(rows, counts, ["gram"], "count", 100)
+    where = hot.groupBy(F.spark_partition_id()).count().collect()
+    assert len(where) == 8 and {r["count"] for r in where} == {450} and rest.count() == 0
+
+    def spans(hot_rows):
+        found = suffix_dedup.repeated_spans(documents(repeating_texts), Scratch(spark, "hot"), 3, hot_rows)
+        return sorted((r.doc_id, suffix_dedup._merged(r.spans)) for r in found.collect())
+    assert spans(1) == spans(1 << 14) and spans(1)
+
+
 def test_suffix_dedup_of_equal_rows_and_null_ids(spark, documents):
     text = "".join(random.Random(3).choices("abcdefgh ", k=500))
     got = suffix_dedup.digest(documents([text, text, text + "!", "short"], ids=[1, 1, None, None])).collect()
