@@ -121,6 +121,44 @@ def test_overlaps_shuffle_leaves_not_cells(spark):
     assert {(r.policy, r.ix, r.iy): r.covers for r in out.collect()} == {k: n for k, n in want.items() if n > 1}
 
 
+def test_footprints_of_a_valid_map_list_no_cells(spark, monkeypatch):
+    import __spark_entry__ as entries
+
+    def listed(*_):
+        raise AssertionError("cells are listed")
+    monkeypatch.setattr(grid, "covered_cells", listed)
+    got = entries.queries()["overlapping_footprints"](spark, entries.SMALL).collect()
+    assert {r.policy for r in got} == set(POLICIES)
+    assert all(r.overlapping == 0 and r.footprint_cells > 0 for r in got)
+
+
+def test_footprint_counts_match_listed_cells(spark):
+    rng = random.Random(13)
+    rows = [(0, 0, "p", 500, 0, -1), (0, 0, "p", 100, 1, -5), (0, 0, "p", 50, -1, 3), (0, 0, "p", 250, 1, 0),
+            (0, 0, "p", 350, 1, 0), (0, 0, "p", 1500, 3, -1), (0, 0, "q", 500, 0, -1), (0, None, "q", 50, 4, 4)]
+    rows += [(1, 0, "p", rng.choice((50, 100, 250, 500)), rng.randint(-9, 9), rng.randint(-9, 9)) for _ in range(60)]
+    rows += [(1, 1, "p", 50, 7, -7)] * 3 + [(1, None, "q", 100, 0, 0)] * 2
+    leaf_rows = spark.createDataFrame(rows, "sequence long, frame_id long, policy string, size_mm int, lx long, ly long")
+    want = {}
+    for *key, mm, lx, ly in rows:
+        u, cells = mm // 50, want.setdefault(tuple(key), {})
+        for at in ((ix, iy) for ix in range(lx * u, lx * u + u) for iy in range(ly * u, ly * u + u)):
+            cells[at] = cells.get(at, 0) + 1
+    got = {tuple(r[:3]): tuple(r[3:]) for r in grid.footprint_counts(leaf_rows).collect()}
+    assert got == {k: (len(c), sum(n > 1 for n in c.values())) for k, c in want.items()}
+
+
+def test_leaf_places_are_those_of_the_map(spark, cloud):
+    pts = cloud([(x * .31 - 20, 7 - x * .17, (x % 5) * .3, x % 4) for x in range(300)])
+    turns = spark.createDataFrame([(0, 0, v, 16.0, v * .7) for v in range(3)],
+                                  "sequence long, frame_id long, variant int, speed double, heading double")
+    cols = ["sequence", "frame_id", "variant", "policy", "size_mm", "lx", "ly"]
+    places = grid.leaf_places(pts, POLICIES, turns)
+    want = grid.build_grid(pts, POLICIES, turns).select(*cols)
+    assert places.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, places.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_numpy_policy_tests_agree_with_their_sql(spark):
     import numpy as np
     from scangrid.functions import cells as C, text
