@@ -254,3 +254,67 @@ def test_dbscan_sends_no_position_to_27_cells(spark, cloud):
     one = cluster._edges_within(pts.withColumn("node", F.col("point_id")), ["sequence", "frame_id"], 1.0)
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+def test_clusters_go_on_across_tiles(spark):
+    rng = np.random.default_rng(29)
+    blobs = [rng.normal((x, y, 0), (3, 3, .5), (60, 3)) for x in (-64, -32, 0, 31, 64) for y in (-33, 0, 32)]
+    line = np.stack([np.arange(-90, 90, .7), np.arange(-90, 90, .7) / 3, np.zeros(258)], 1)
+    edge = np.array([[32 + d, 48 + e, 0] for d in (-1, -.5, -.3, 0, .4, .5, 1, 1.4) for e in (-.9, 0, .6, 1)])
+    frames = [np.round(np.concatenate(p)[rng.permutation(sum(map(len, p)))], 1)
+              for p in ((*blobs, line, edge), (*blobs[::3], line[::2], edge), (line,))]
+    eps, least = (1.0, .5, 2.0), (4, 3, 2)
+    rows = [(f, i, *map(float, q), eps[f], least[f]) for f, p in enumerate(frames) for i, q in enumerate(p)]
+    df = spark.createDataFrame(rows + [(None, 1, 0., 0., 0., 1., 1), (0, 5000, None, 0., 0., 1., 4), (0, 5001, float("nan"), 0., 0., 1., 4)],
+                               "frame_id long, point_id long, x double, y double, z double, e double, m long")
+    def of(values):
+        out = F.lit(values[0])
+        for f in (1, 2):
+            out = F.when(F.col("frame_id") == f, values[f]).otherwise(out)
+        return out
+    want = {(f, i): None if c < 0 else c for f, p in enumerate(frames)
+            for i, c in enumerate(brute_dbscan(p, eps[f], least[f]).tolist())}
+    assert len(set(want.values())) > 20 and None in want.values()
+    want.update({(None, 1): None, (0, 5000): None, (0, 5001): None})
+    df = df.drop("e", "m")
+    assert {(r.frame_id, r.point_id): r.cluster for r in cluster.dbscan(df, ["frame_id"], of(eps), of(least)).collect()} == want
+    first = df.groupBy("frame_id", "x", "y", "z").agg(F.min("point_id").alias("point_id"), F.count("*").alias("note"))
+    first = first.where("note = 1")
+    alone = cluster.dbscan(first, ["frame_id"], of(eps), of(least), distinct=True)
+    merged = cluster.dbscan(first, ["frame_id"], of(eps), of(least))
+    assert alone.columns == [*first.columns, "cluster"] and alone.where("note is null").isEmpty()
+    assert {(r.frame_id, r.point_id, r.cluster) for r in alone.collect()} == {
+        (r.frame_id, r.point_id, r.cluster) for r in merged.collect()}
+
+
+def test_object_proposals_shuffle_each_point_few_times(spark, cloud):
+    def written():
+        context = spark.sparkContext
+        stages = context._jsc.sc().statusStore().stageList(
+            None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+    rng = np.random.default_rng(31)
+    pts = cloud([(*q, 2 + i % 2) for i, q in enumerate(np.round(rng.uniform((-90, -90, 0), (90, 90, 2), (20000, 3)), 3))])
+    before = written()
+    got = cluster.object_proposals(pts).collect()
+    assert sum(r.points for r in got) == 20000
+    assert written() - before < 5 * 20000
+
+
+def test_boxes_of_single_points_are_those_of_groups_of_one(spark, cloud):
+    rng = np.random.default_rng(37)
+    pts = cloud([(*q, 2) for q in rng.uniform(-90, 90, (50, 3))]).withColumn("object_id", F.col("point_id")).withColumn(
+        "conf", F.when(F.col("point_id") > 3, F.col("point_id") / 64))
+    floor = [F.lit(.1)] * 3
+    one = cluster.boxes_of_single_points(pts, ["object_id"], floor)
+    many = cluster.oriented_boxes(pts, ["object_id"], floor)
+    assert one.columns == many.columns
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_mean_confidence_does_not_hang_on_order(spark):
+    rows = [(g, x, 0., 0., c) for g, cs in enumerate(([.55, .6, .65, .7], [.7, .65, .6, .55], [None, .5], [None], [float("nan"), .5], [1e300]))
+            for x, c in enumerate(map(lambda c: c, cs))]
+    df = spark.createDataFrame([(g, float(x), y, z, c) for g, x, y, z, c in rows], "g long, x double, y double, z double, conf double")
+    got = {r.g: r.confidence for r in cluster.oriented_boxes(df.coalesce(1), ["g"], [F.lit(.1)] * 3).collect()}
+    assert got[0] == got[1] == .625 and got[2] == .5 and got[3] is None and np.isnan(got[4]) and got[5] == 1e300
